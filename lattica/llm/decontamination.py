@@ -178,9 +178,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean_of(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without rows that hold a window of an item."""
-    bad = decontaminate(docs, items, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
+    bad = decontaminate(docs, items, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("__lattica_id")).distinct()
     bad = materialize(bad, "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__lattica_id")), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,16 +85,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with one row of each group of equal texts, all columns as they were."""
     found = materialize(exact_dedup(docs, id_col, text_col), "exact-dedup")
     keys = F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    kept = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    kept = found.filter("kept").select(F.col("doc_id").alias("__lattica_id"), F.col("text_sha256").alias("__lattica_sha"))
+    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("__lattica_id"), F.col("text_sha256").alias("__lattica_sha"))
     away = dropped.distinct()
-    ties = materialize(away.join(kept, (away["__id"].eqNullSafe(kept["__id"])) & (away["__sha"] == kept["__sha"]), "left_semi"), "exact-ties")
-    marked = docs.withColumns({"__doc": keys[0], "__text": keys[1]})
-    match = lambda right: marked["__doc"].eqNullSafe(right["__id"]) & (marked["__text"] == right["__sha"])
+    ties = materialize(away.join(kept, (away["__lattica_id"].eqNullSafe(kept["__lattica_id"])) & (away["__lattica_sha"] == kept["__lattica_sha"]), "left_semi"), "exact-ties")
+    marked = docs.withColumns({"__lattica_doc": keys[0], "__lattica_text": keys[1]})
+    match = lambda right: marked["__lattica_doc"].eqNullSafe(right["__lattica_id"]) & (marked["__lattica_text"] == right["__lattica_sha"])
     out = marked.join(away, match(away), "left_anti")
     if not ties.isEmpty():  # rows that repeat id and text: one of each stays
-        out = out.unionByName(marked.join(ties, match(ties), "left_semi").dropDuplicates(["__doc", "__text"]))
-    return out.drop("__doc", "__text")
+        out = out.unionByName(marked.join(ties, match(ties), "left_semi").dropDuplicates(["__lattica_doc", "__lattica_text"]))
+    return out.drop("__lattica_doc", "__lattica_text")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
