@@ -9,6 +9,8 @@ length, a first bin and an offset. The pieces are then ranked within their lengt
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ from lattica.llm.shared import materialize, release, table
 
 CAPACITY = 2048
 #: Distinct white-space-free strings whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 800_000
 
 
 def default_tokenizer() -> str:
@@ -32,24 +34,44 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids as little-endian bytes. Texts are cut at plain white space, which no token of this tokenizer spans, and the ids of each string in between are remembered."""
+    """Token ids as little-endian bytes. Texts are cut at plain white space, which no token of this tokenizer spans, and the ids of the strings in between are remembered, up to ``REMEMBERED`` of them."""
+
+    #: Stands between strings that are encoded together; strings with this character go by themselves.
+    BETWEEN = "\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        (self.between,) = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+
+    def _new(self, words: list[str], together: int = 200) -> Iterator[tuple[str, bytes]]:
+        plain = [w for w in words if self.BETWEEN not in w]
+        groups = [plain[at : at + together] for at in range(0, len(plain), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts, raw = np.flatnonzero(ids == self.between), ids.tobytes()
+            yield from zip(group, [raw[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True)], strict=True)
+        for w in words:
+            if self.BETWEEN in w:
+                yield w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = list({w for words in split for w in words} - {""})
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        known, more = self.known, {}
+        missing = set().union(*split).difference(known)
+        if missing:
+            (more if len(known) > REMEMBERED else known).update(self._new(list(missing)))
+        if not more:
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join([x if (x := known.get(w)) is not None else more[w] for w in words]) for words in split]
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 class CapacityTree:
@@ -119,10 +141,10 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = _encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part, out = batch.slice(at, 200), []
+            for at in range(0, batch.num_rows, 400):
+                part, out = batch.slice(at, 400), []
                 ids = part.column("doc_id").to_pylist()
                 for doc_id, raw in zip(ids, encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     raw += b"\0\0\0\0"
