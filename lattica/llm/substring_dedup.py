@@ -4,7 +4,8 @@ Rolling hashes over the bytes trigger phrases: of each window of ``LENGTH`` byte
 taken, and windows that follow one another with the same least hash make a phrase, which so overlaps the next by ``LENGTH`` - 1
 bytes. Every window starts in exactly one phrase, and where it occurs again it is in a phrase of the same hash.
 
-1. Documents are gathered in batches, written once.
+1. Documents are gathered in batches, written once. A document equal to one of a smaller id is removed whole and takes no part
+   in what follows.
 2. Each batch says which hashes it has; only hashes that several documents have go on. Most of a text ends here.
 3. The distinct phrases of those hashes, with the least id of a document of the batch that has them, are dealt out by hash. Of each
    share the phrases are the dictionary: its suffix array, in the order of ``LENGTH`` bytes, brings equal windows together, and the
@@ -39,7 +40,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 
 def batches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """batch, ids, known (1 where the id is not null), offsets and zstandard-compressed bytes; a document is never divided."""
+    """batch, ids, known (1 where the id is not null), offsets, SHA-256 digests and zstandard-compressed bytes; a document is never divided."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,11 +54,13 @@ def batches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for a, b in chunks(offsets, BATCH_BYTES):
                 known = ids.slice(a, b - a).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
                 values = ids.slice(a, b - a).fill_null(_NO_ID).to_numpy().astype("<i8")
-                part = [number, values.tobytes(), known.tobytes(), (offsets[a : b + 1] - offsets[a]).astype("<i8").tobytes(), pack.compress(data[offsets[a] : offsets[b]].tobytes())]
-                yield pa.RecordBatch.from_arrays([pa.array([part[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in part[1:])], names=["batch", "ids", "known", "offsets", "data"])
+                at, raw = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]].tobytes()
+                digests = b"".join(hashlib.sha256(raw[x:y]).digest() for x, y in zip(at, at[1:], strict=False))
+                part = [number, values.tobytes(), known.tobytes(), at.astype("<i8").tobytes(), digests, pack.compress(raw)]
+                yield pa.RecordBatch.from_arrays([pa.array([part[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in part[1:])], names=["batch", "ids", "known", "offsets", "digests", "data"])
                 number += 1
 
-    return rows.mapInArrow(run, "batch long, ids binary, known binary, offsets binary, data binary")
+    return rows.mapInArrow(run, "batch long, ids binary, known binary, offsets binary, digests binary, data binary")
 
 
 def _unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -67,13 +70,63 @@ def _unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np
     return ids, known, offsets, zstandard.ZstdDecompressor().decompress(batch.column("data")[k].as_py(), max_output_size=int(offsets[-1]) + 1)
 
 
-def phrases_of(data: bytes, offsets: np.ndarray, piece: int = BATCH_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and hash (even) of each phrase. Windows do not cross documents."""
+def _digests(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return np.frombuffer(batch.column("digests")[k].as_py(), "S32")
+
+
+def _least_by(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the least id of each, and which key each row has."""
+    values, inverse = np.unique(keys, return_inverse=True)
+    least = np.full(len(values), _NO_ID)
+    np.minimum.at(least, inverse, ids)
+    return values, least, inverse
+
+
+def digests_by_share(batches: DataFrame, shares: int) -> DataFrame:
+    """share, batch, digests and least: the distinct digests of each batch and the least id of each."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for k in range(batch.num_rows):
+                values, least, _ = _least_by(_digests(batch, k), np.frombuffer(batch.column("ids")[k].as_py(), "<i8"))
+                parts = list(_by_share(_dealt(values.view("<u8")[::4], shares)))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int64()), pa.array([batch.column("batch")[k].as_py()] * len(parts), pa.int64()), *(pa.array([x[i].tobytes() for _, i in parts], pa.binary()) for x in (values, least))], names=["share", "batch", "digests", "least"])
+
+    return batches.select("batch", "ids", "digests").mapInArrow(run, "share long, batch long, digests binary, least binary")
+
+
+def _smaller_elsewhere(key: tuple, rows: pa.Table) -> pa.Table:
+    """Of one share: for each batch the digests of which another batch has a smaller id, and that id."""
+    digests, ids = ([np.frombuffer(x.as_py(), t) for x in rows.column(c)] for c, t in (("digests", "S32"), ("least", "<i8")))
+    _, least, inverse = _least_by(np.concatenate(digests), np.concatenate(ids))
+    out, at = [], 0
+    for number, own, low in zip(rows.column("batch").to_pylist(), digests, ids, strict=True):
+        best, at = least[inverse[at : at + len(own)]], at + len(own)
+        if (other := best < low).any():
+            out.append((number, own[other].tobytes() + best[other].tobytes()))
+    return pa.table({"batch": pa.array([a for a, _ in out], pa.int64()), "share": pa.array([-2] * len(out), pa.int64()), "info": pa.array([b for _, b in out], pa.binary())})
+
+
+def _copies(batch: pa.RecordBatch, k: int, ids: np.ndarray, infos: list) -> np.ndarray:
+    """Which documents of a batch are equal to one of a smaller id."""
+    values, least, inverse = _least_by(_digests(batch, k), ids)
+    for x in infos:
+        if x["share"] == -2:
+            n = len(x["info"]) // 40
+            at = np.searchsorted(values, np.frombuffer(x["info"], "S32", n))
+            least[at] = np.minimum(least[at], np.frombuffer(x["info"], "<i8", n, 32 * n))
+    return least[inverse] < ids
+
+
+def phrases_of(data: bytes, offsets: np.ndarray, without: np.ndarray | None = None, piece: int = BATCH_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and hash (even) of each phrase. Windows do not cross documents; documents ``without`` have none."""
     n, out = len(data) - LENGTH + 1, []
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     inside = np.zeros(n + 1, np.int32)
     long = np.diff(offsets) >= LENGTH
+    if without is not None:
+        long &= ~without
     inside[offsets[:-1][long]] += 1
     inside[offsets[1:][long] - LENGTH + 1] -= 1
     inside = np.cumsum(inside[:-1]) > 0
@@ -112,7 +165,7 @@ def hashes_by_share(batches: DataFrame, shares: int) -> DataFrame:
         for batch in rows:
             for k in range(batch.num_rows):
                 ids, _, offsets, data = _unpacked(batch, k)
-                first, _, hashes = phrases_of(data, offsets)
+                first, _, hashes = phrases_of(data, offsets, _copies(batch, k, ids, batch.column("infos")[k].as_py() or []))
                 doc = ids[np.searchsorted(offsets, first, "right") - 1]
                 order = np.argsort(hashes, kind="stable")
                 hashes, doc = hashes[order], doc[order]
@@ -147,8 +200,8 @@ def _shared_hashes(key: tuple, rows: pa.Table) -> pa.Table:
 class Parse:
     """The phrases of a batch whose hashes are shared, as distinct strings by share, always in the same order."""
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: bytes, shared: np.ndarray, shares: int):
-        first, count, hashes = phrases_of(data, offsets)
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: bytes, copies: np.ndarray, shared: np.ndarray, shares: int):
+        first, count, hashes = phrases_of(data, offsets, copies)
         known = np.sort(shared)
         plain = known & ~np.uint64(1)
         at = np.minimum(np.searchsorted(plain, hashes), max(0, len(plain) - 1))
@@ -182,7 +235,7 @@ def phrases_by_share(batches: DataFrame, shares: int) -> DataFrame:
             for k in range(batch.num_rows):
                 ids, _, offsets, data = _unpacked(batch, k)
                 infos = batch.column("infos")[k].as_py() or []
-                parts = Parse(ids, offsets, data, _joined(infos), shares).parts
+                parts = Parse(ids, offsets, data, _copies(batch, k, ids, infos), _joined(infos), shares).parts
                 for at in range(0, len(parts), 500):
                     some = parts[at : at + 500]
                     columns = [[p[0] for p in some], [batch.column("batch")[k].as_py()] * len(some), [np.array([len(x) for x in p[1]], "<u4").tobytes() for p in some], [p[2].tobytes() for p in some], [b"".join(p[1]) for p in some]]
@@ -192,7 +245,7 @@ def phrases_by_share(batches: DataFrame, shares: int) -> DataFrame:
 
 
 def _joined(infos: list) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x["info"], np.uint64) for x in infos if x["share"] < 0)])
+    return np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x["info"], np.uint64) for x in infos if x["share"] == -1)])
 
 
 def earlier_windows(sizes: np.ndarray, least: np.ndarray, strings: bytes) -> np.ndarray:
@@ -236,9 +289,9 @@ def _verdicts(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array([a for a, _ in out], pa.int64()), "share": pa.array([share] * len(out), pa.int64()), "info": pa.array([b for _, b in out], pa.binary())})
 
 
-def _marked(ids: np.ndarray, offsets: np.ndarray, data: bytes, infos: list, shares: int) -> np.ndarray:
+def _marked(ids: np.ndarray, offsets: np.ndarray, data: bytes, copies: np.ndarray, infos: list, shares: int) -> np.ndarray:
     """Which bytes of a batch are removed."""
-    parse = Parse(ids, offsets, data, _joined(infos), shares)
+    parse = Parse(ids, offsets, data, copies, _joined(infos), shares)
     bits = {x["share"]: x["info"] for x in infos if x["share"] >= 0}
     change = np.zeros(len(data) + 1, np.int32)
     for share, strings, least, where, which in parse.parts:
@@ -251,6 +304,9 @@ def _marked(ids: np.ndarray, offsets: np.ndarray, data: bytes, infos: list, shar
         windows = (np.repeat(parse.first[where], n) + nth)[gone]
         np.add.at(change, windows, 1)
         np.add.at(change, windows + LENGTH, -1)
+    whole = copies & (np.diff(offsets) >= LENGTH)
+    np.add.at(change, offsets[:-1][whole], 1)
+    np.add.at(change, offsets[1:][whole], -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -265,19 +321,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = materialize(batches_of(docs, id_col, text_col), "batches", "uncompressed")
     total = base.select(F.sum(F.octet_length("data").cast("long")).alias("n")).first()[0] or 0
     shares = max(LEAST_SHARES, total * 5 // 2 // SHARE_BYTES)
-    shared = materialize(hashes_by_share(base, shares).groupBy("share").applyInArrow(_shared_hashes, "batch long, share long, info binary"), "shared-hashes")
+    kind = "batch long, share long, info binary"
+
+    def told(rows: DataFrame) -> DataFrame:
+        """The batches with what has been found out about each, which is bounded by its bytes."""
+        infos = rows.groupBy(F.col("batch").alias("of")).agg(F.collect_list(F.struct("share", "info")).alias("infos"))
+        return base.join(infos, F.col("batch") == F.col("of"), "left").drop("of")
+
+    copies = materialize(digests_by_share(base, shares).groupBy("share").applyInArrow(_smaller_elsewhere, kind), "copies")
+    shared = materialize(hashes_by_share(told(copies), shares).groupBy("share").applyInArrow(_shared_hashes, kind), "shared-hashes")
     release(spark)
-    infos = lambda rows: rows.groupBy(F.col("batch").alias("of")).agg(F.collect_list(F.struct("share", "info")).alias("infos"))  # noqa: E731 - of one batch: bounded by its bytes
-    phrases = phrases_by_share(base.join(infos(shared), F.col("batch") == F.col("of")).drop("of"), shares)
-    found = materialize(phrases.groupBy("share").applyInArrow(_verdicts, "batch long, share long, info binary"), "verdicts")
+    found = materialize(phrases_by_share(told(copies.unionByName(shared)), shares).groupBy("share").applyInArrow(_verdicts, kind), "verdicts")
     release(spark)
-    last = base.join(infos(shared.unionByName(found)), F.col("batch") == F.col("of"), "left").drop("of")
+    last = told(copies.unionByName(shared).unionByName(found))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for k in range(batch.num_rows):
                 ids, known, offsets, data = _unpacked(batch, k)
-                gone = _marked(ids, offsets, data, batch.column("infos")[k].as_py() or [], shares)
+                infos = batch.column("infos")[k].as_py() or []
+                gone = _marked(ids, offsets, data, _copies(batch, k, ids, infos), infos, shares)
                 raw, out = np.frombuffer(data, np.uint8), []
                 for a, b in zip(offsets.tolist(), offsets.tolist()[1:], strict=False):
                     x = gone[a:b]
