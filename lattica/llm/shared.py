@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -42,9 +43,14 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now rather than at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished steps now rather than at the driver's next collection.
+
+    Twice, as the driver's Python lets go of its references a moment after its own collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,7 +30,8 @@ from lattica.llm.shared import chunks, materialize, release, table, utf8
 from lattica.llm.words import mixed, sliding_min
 
 LENGTH = 50
-GRAM = 16
+#: A multiple of 8. Longer ones are shared by chance less often, shorter ones make fewer phrases.
+GRAM = 24
 BATCH_BYTES = 2 << 20
 #: A hash that so many batches have is dealt out by single windows.
 COMMON_FROM = 200
@@ -133,8 +134,10 @@ def phrases_of(data: bytes, offsets: np.ndarray, without: np.ndarray | None = No
     for at in range(0, n, piece):
         size = min(piece, n - at)
         words = np.ndarray((size + LENGTH - 8,), "<u8", buffer=data, offset=at, strides=(1,))
+        grams = np.zeros(size + LENGTH - GRAM, np.uint64)
         with np.errstate(over="ignore"):
-            grams = mixed(words[: size + LENGTH - GRAM] * np.uint64(0x9E3779B97F4A7C15) ^ mixed(words[8 : size + LENGTH - GRAM + 8]))
+            for k in range(0, GRAM, 8):
+                grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) ^ words[k : k + len(grams)])
         low = sliding_min(grams, LENGTH - GRAM + 1) & ~np.uint64(1)
         valid = inside[at : at + size]
         new = valid.copy()
