@@ -32,7 +32,7 @@ from lattica.llm.words import mixed, sliding_min
 LENGTH = 50
 #: A multiple of 8. Longer ones are shared by chance less often, shorter ones make fewer phrases.
 GRAM = 24
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: A hash that so many batches have is dealt out by single windows.
 COMMON_FROM = 200
 #: Text per share of phrases, and least number of shares.
@@ -119,7 +119,7 @@ def _copies(batch: pa.RecordBatch, k: int, ids: np.ndarray, infos: list) -> np.n
     return least[inverse] < ids
 
 
-def phrases_of(data: bytes, offsets: np.ndarray, without: np.ndarray | None = None, piece: int = BATCH_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def phrases_of(data: bytes, offsets: np.ndarray, without: np.ndarray | None = None, piece: int = BATCH_BYTES // 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and hash (even) of each phrase. Windows do not cross documents; documents ``without`` have none."""
     n, out = len(data) - LENGTH + 1, []
     if n <= 0:
