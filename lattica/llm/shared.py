@@ -42,6 +42,15 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, least: int) -> DataFrame:
+    """``df`` as a table of the warehouse in at least ``least`` buckets by ``column``: joins on it shuffle only their other side."""
+    spark = df.sparkSession
+    count = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table_name = f"lattica_{name}_{uuid.uuid4().hex}"
+    df.repartition(count, column).write.option("compression", "uncompressed").bucketBy(count, column).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps now rather than at the driver's next collection.
 

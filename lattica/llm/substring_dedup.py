@@ -4,7 +4,7 @@ Rolling hashes over the bytes trigger phrases: of each window of ``LENGTH`` byte
 taken, and windows that follow one another with the same least hash make a phrase, which so overlaps the next by ``LENGTH`` - 1
 bytes. Every window starts in exactly one phrase, and where it occurs again it is in a phrase of the same hash.
 
-1. Documents are gathered in batches, written once. A document equal to one of a smaller id is removed whole and takes no part
+1. Documents are gathered in batches, written once as a table in buckets, so that later joins leave it where it is. A document equal to one of a smaller id is removed whole and takes no part
    in what follows.
 2. Each batch says which hashes it has; only hashes that several documents have go on. Most of a text ends here.
 3. The distinct phrases of those hashes, with the least id of a document of the batch that has them, are dealt out by hash. Of each
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import chunks, materialize, release, table, utf8
+from lattica.llm.shared import bucketed, chunks, materialize, release, table, utf8
 from lattica.llm.words import mixed, sliding_min
 
 LENGTH = 50
@@ -37,6 +37,8 @@ BATCH_BYTES = 1 << 20
 COMMON_FROM = 200
 #: Text per share of phrases, and least number of shares.
 SHARE_BYTES, LEAST_SHARES = 2 << 20, 256
+#: Text per bucket of the table of batches.
+BUCKET_BYTES = 32 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -321,9 +323,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     memory in proportion to the longest document.
     """
     spark = docs.sparkSession
-    base = materialize(batches_of(docs, id_col, text_col), "batches", "uncompressed")
-    total = base.select(F.sum(F.octet_length("data").cast("long")).alias("n")).first()[0] or 0
-    shares = max(LEAST_SHARES, total * 5 // 2 // SHARE_BYTES)
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    base = bucketed(batches_of(docs, id_col, text_col), "batches", "batch", total // BUCKET_BYTES)
+    release(spark)
+    shares = max(LEAST_SHARES, total // SHARE_BYTES)
     kind = "batch long, share long, info binary"
 
     def told(rows: DataFrame) -> DataFrame:
