@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Upper-case A-Z to lower case; every other byte stays.
@@ -76,10 +76,13 @@ def sampled_texts(docs: DataFrame, keys: DataFrame, group: str, per_group: int)
 
     ``per_group`` times the number of groups bounds what is broadcast and what reaches the driver.
     """
-    from pyspark.sql import Window
-
-    by_hash = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.select("doc_id", group).withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_group)
+    hashed = F.xxhash64("doc_id")
+    keys = keys.select("doc_id", group)
+    counts = keys.groupBy(F.col(group).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    # About twice as many as are wanted come through, evenly over the hashes, so that ranking them is no large task.
+    few = keys.join(counts, F.col(group) == F.col("__of")).filter(F.pmod(hashed, F.lit(1_000_000)) < 1_000_000 * 2.0 * per_group / F.col("__n"))
+    by_hash = Window.partitionBy(group).orderBy(hashed, "doc_id")
+    chosen = few.select("doc_id", group).withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_group)
     return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
 
 
