@@ -23,7 +23,7 @@ from lattica.llm.shared import chunks, held_out, sampled_texts, table, utf8
 TEXTS_PER_LABEL = 2000
 PIECES_PER_TEXT = 6
 PIECE_BYTES = 1024
-DICTIONARY_BYTES = 64 << 10
+DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 #: Compressed bytes, both ways together, from which a difference counts more than half.
 LITTLE = 200
@@ -93,7 +93,7 @@ class CompressionClassifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CompressionClassifier:
-    """Learns from labelled rows that are not held out: ``TEXTS_PER_LABEL`` texts of each label by a hash of the id, pieces spread over the whole of each. Every other one builds the dictionaries, the rest calibrates. Other label values are passed over."""
+    """Learns from labelled rows that are not held out: ``TEXTS_PER_LABEL`` texts of each label by a hash of the id, pieces spread over the whole of each. Pieces that repeat count once; every other text builds the dictionaries, the rest calibrates. Other label values are passed over."""
     keys = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     share = keys.agg(F.avg("label")).first()[0]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -101,7 +101,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     last = F.greatest(F.lit(0), F.octet_length(raw) - PIECE_BYTES)
     spread = F.array_distinct(F.array(*(F.substring(raw, (last * k / (PIECES_PER_TEXT - 1)).cast("int") + 1, F.lit(PIECE_BYTES)) for k in range(PIECES_PER_TEXT))))
     found = sampled_texts(rows, keys, "label", TEXTS_PER_LABEL).select("label", spread.alias("pieces")).collect()  # bounded by the constants
-    found = sorted((r[0], [bytes(p) for p in r[1]]) for r in found)
+    found, seen = sorted((r[0], [bytes(p) for p in r[1]]) for r in found), set()
+    # A piece counts once for each label, so that a text with many copies doesn't fill a dictionary.
+    found = [(label, new) for label, pieces in found if (new := [p for p in pieces if (label, p) not in seen and not seen.add((label, p))])]
     halves = {(y, h): [p for k, (label, p) in enumerate(found) if label == y and k % 2 == h] for y in (0, 1) for h in (0, 1)}
     model = CompressionClassifier(*(_dictionary([p for pieces in halves[y, 0] for p in pieces]) for y in (1, 0)))
     rest = [(y, b"".join(pieces)) for y in (0, 1) for pieces in halves[y, 1]]
