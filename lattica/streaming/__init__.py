@@ -1 +1 @@
-
+"""Event-time twins of batch operators (an extension)."""
