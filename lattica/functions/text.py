@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters folded by the normalisers, and letter classes of the phonetic key.
 ARABIC_FROM, ARABIC_TO = "يكۀة", "یکهه"
@@ -14,7 +15,7 @@ DIACRITICS = r"[\x{064B}-\x{065F}\x{0670}]"
 PHONETIC_FROM, PHONETIC_TO = "صثظضذطغحأإآؤئ", "سسزززتقهاااوی"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which has no built-in function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
