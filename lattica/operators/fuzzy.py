@@ -25,11 +25,14 @@ def blocked_join(left: DataFrame, right: DataFrame, block: Callable[[Column], Co
 def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, phrase, places): phrases (arrays of words) found as neighbouring tokens of (id, toks), through windows of the lengths that occur."""
     lengths = [r[0] for r in phrases.select(F.size("words").alias("n")).filter("n > 0").distinct().collect()]  # few different lengths
+
+    def grams_of(n: int) -> DataFrame:
+        at = F.sequence(F.lit(1), F.size("toks") - n + 1)
+        return docs.filter(F.size("toks") >= n).select("id", F.explode(F.transform(at, lambda i: F.array_join(F.slice(F.col("toks"), i, n), " "))).alias("phrase"))
+
     out = None
     for n in sorted(lengths):
-        at = F.sequence(F.lit(1), F.size("toks") - n + 1)
-        grams = docs.filter(F.size("toks") >= n).select("id", F.explode(F.transform(at, lambda i, n=n: F.array_join(F.slice(F.col("toks"), i, n), " "))).alias("phrase"))
         known = phrases.filter(F.size("words") == n).select(F.array_join("words", " ").alias("phrase")).distinct()
-        found = grams.join(known, "phrase").groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("places"))
+        found = grams_of(n).join(known, "phrase").groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("places"))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.select("id", F.lit("").alias("phrase"), F.lit(0).cast("long").alias("places")).filter("false")

@@ -1 +1,159 @@
+"""Lexicon and fuzzy joins, retrieval, vectors, alignment, decoding and repair."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.functions import similarity as S
+from lattica.functions import text as T
+from lattica.operators import fuzzy, grounding, lattice, retrieval
+from lattica.plans.registry import query, table
+
+_TOKS = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
+_DOCS = rf"d AS (SELECT doc_id AS id, {_TOKS} AS toks FROM documents), b AS (SELECT item_id, {_TOKS} AS words FROM benchmark)"
+_INDEX = "p AS (SELECT id, tok, len(any_value(toks)) AS dl, count(*) AS tf FROM (SELECT id, toks, unnest(toks) AS tok FROM d) GROUP BY id, tok)"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("toks"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("words"))
+
+
+@query("lexicon_semijoin", f"WITH {_DOCS}, l AS (SELECT DISTINCT unnest(words) AS tok FROM b), e AS (SELECT id, unnest(toks) AS tok FROM d) SELECT id, count(*) AS n_known FROM e WHERE tok IN (SELECT tok FROM l) GROUP BY id")
+def lexicon_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = items(spark, sf_dir).select(F.explode("words").alias("tok")).distinct()
+    return documents(spark, sf_dir).select("id", F.explode("toks").alias("tok")).join(lexicon, "tok", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_known"))
+
+
+@query(
+    "phrase_match",
+    f"""WITH {_DOCS}, k AS (SELECT DISTINCT array_to_string(words[1:4], ' ') AS phrase FROM b WHERE len(words) >= 4), g AS (SELECT id, unnest(list_transform(range(1, greatest(len(toks) - 2, 1)), lambda i: array_to_string(toks[i : i + 3], ' '))) AS phrase FROM d)
+    SELECT id, phrase, count(*) AS places FROM g JOIN k USING (phrase) GROUP BY id, phrase""",
+)
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = items(spark, sf_dir).filter(F.size("words") >= 4).select(F.slice("words", 1, 4).alias("words"))
+    return fuzzy.phrase_matches(documents(spark, sf_dir), phrases)
+
+
+_TERMS = "t AS (SELECT DISTINCT p_name AS term, p_brand AS brand FROM part)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_brand").alias("brand"))
+
+
+@query(
+    "fuzzy_join_blocked",
+    f"""WITH {_TERMS}, p AS (SELECT a.term, b.term AS match, a.brand, 1 - levenshtein(a.term, b.term) / greatest(length(a.term), length(b.term)) AS sim FROM t a JOIN t b ON a.brand = b.brand AND a.term[1:1] = b.term[1:1] AND abs(length(a.term) - length(b.term)) <= 2 AND a.term <> b.term)
+    SELECT term, match, brand, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term, brand ORDER BY sim DESC, match) AS rank FROM p WHERE sim >= 0.5) WHERE rank <= 4""",
+)
+def fuzzy_join_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, first = _parts(spark, sf_dir), lambda c: F.substring(c, 1, 1)
+    near = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b))
+    return fuzzy.blocked_join(rows, rows, first, near, 2, 0.5, 4, ["brand"]).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("fuzzy_join_indel")
+def fuzzy_join_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir)
+    return fuzzy.blocked_join(rows, rows, lambda c: F.substring(T.latin_key(c), 1, 1), S.indel_ratio, 2, 0.74, 4, ["brand"])
+
+
+_BM = "round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / ad))), 4)"
+
+
+@query(
+    "bm25_topk",
+    f"""WITH {_DOCS}, {_INDEX}, s AS (SELECT count(*) AS nd, avg(dl) AS ad FROM (SELECT DISTINCT id, dl FROM p)), f AS (SELECT tok, count(*) AS df FROM p GROUP BY tok), q AS (SELECT DISTINCT item_id AS query, unnest(words) AS tok FROM b),
+    x AS (SELECT query, id, {_BM} AS score FROM p JOIN q USING (tok) JOIN f USING (tok), s GROUP BY query, id)
+    SELECT query, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 5""",
+)
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = items(spark, sf_dir).select(F.col("item_id").alias("query"), F.explode("words").alias("tok"))
+    return retrieval.bm25(retrieval.postings(documents(spark, sf_dir)), asked, 5)
+
+
+_PAIRS = "x AS (SELECT DISTINCT words[1] AS a, words[2] AS b FROM b WHERE len(words) >= 2 AND words[1] <> words[2])"
+
+
+@query("pair_and_retrieval", f"WITH {_DOCS}, {_INDEX}, {_PAIRS} SELECT x.a, x.b, m.id FROM x JOIN p m ON m.tok = x.a JOIN p n ON n.tok = x.b AND n.id = m.id")
+def pair_and_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = items(spark, sf_dir).filter(F.size("words") >= 2).select(F.element_at("words", 1).alias("a"), F.element_at("words", 2).alias("b")).filter("a <> b").distinct()
+    return retrieval.pair_hits(retrieval.postings(documents(spark, sf_dir)), pairs)
+
+
+@query(
+    "anchor_ranking",
+    rf"""WITH e AS (SELECT role AS family, unnest({_TOKS}) AS tok FROM conversations), c AS (SELECT tok, count(*) AS corpus_count FROM (SELECT unnest({_TOKS}) AS tok FROM documents) GROUP BY tok),
+    f AS (SELECT tok, count(DISTINCT family) AS families, count(*) AS occurrences FROM e GROUP BY tok)
+    SELECT tok, families, occurrences, corpus_count, round(CAST(2.2 * families + 0.22 * least(6, occurrences) + 1.0 / (1.0 + ln(1 + corpus_count)) AS DOUBLE), 6) AS score FROM f JOIN c USING (tok)""",
+)
+def anchor_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "conversations").select(F.col("role").alias("family"), F.explode(T.tokens(F.col("text"))).alias("tok"))
+    counts = documents(spark, sf_dir).select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("corpus_count"))
+    return retrieval.anchors(each, counts)
+
+
+_CENTROIDS = """m AS (SELECT label AS family, i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
+c AS (SELECT family, list(x ORDER BY i) AS v FROM m GROUP BY family)"""
+
+
+@query("centroid_similarity", f"WITH {_CENTROIDS} SELECT e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.v), 5) AS similarity FROM embeddings e JOIN c ON c.family = e.label")
+def centroid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    known = retrieval.centroids(rows).withColumnRenamed("family", "label")
+    return rows.join(known, "label").select("vec_id", "label", F.round(S.cosine(F.col("embedding"), F.col("centroid")), 5).alias("similarity"))
+
+
+@query(
+    "top3_mean_similarity",
+    f"""WITH {_CENTROIDS}, s AS (SELECT e.vec_id, c.family, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.v) AS x FROM embeddings e, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, family) AS rank FROM s) SELECT vec_id, round(avg(x), 5) AS mean3, round(max(x), 5) AS best FROM r WHERE rank <= 3 GROUP BY vec_id""",
+)
+def top3_mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    # One row holds the centroid of every family, of which there are few.
+    known = retrieval.centroids(rows).agg(F.collect_list("centroid").alias("centroids"))
+    scored = rows.join(F.broadcast(known)).select("vec_id", F.reverse(F.array_sort(F.transform("centroids", lambda c: S.cosine(F.col("embedding"), c)))).alias("x"))
+    top = F.slice("x", 1, 3)
+    return scored.select("vec_id", F.round(F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top), 5).alias("mean3"), F.round(F.element_at("x", 1), 5).alias("best"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as one reading of its conversation: words of 0.4 seconds, shifted a little by turn."""
+    rows = table(spark, sf_dir, "conversations").filter("turn < 3").select("conv_id", "turn", "role", F.posexplode(F.slice(T.tokens(F.col("text")), 1, 40)).alias("pos", "word"))
+    start = F.col("pos") * 0.4 + F.col("turn") * 0.05
+    return rows.select(F.col("conv_id").alias("run"), F.concat(F.lit("h"), F.col("turn").cast("string")).alias("hypothesis"), F.col("role").alias("family"), "word", start.alias("start"), (start + 0.35).alias("end"), F.lit(0.9).alias("probability"))
+
+
+@query("align_network")
+def align_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.align_network(_words(spark, sf_dir), ["h0", "h1", "h2"])
+
+
+@query("align_pair")
+def align_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir)
+    return lattice.align_pair(words.filter("hypothesis = 'h0'"), words.filter("hypothesis = 'h1'"))
+
+
+@query("beam_decode")
+def beam_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = lattice.align_network(_words(spark, sf_dir), ["h0", "h1", "h2"])
+    found = slots.groupBy("run", "slot", F.col("word").alias("candidate")).agg((2.2 * F.countDistinct("family") + 0.42 * F.max("probability")).alias("score"))
+    empty = slots.groupBy("run", "slot").agg(F.lit("").alias("candidate"), F.when(F.countDistinct("hypothesis") >= 3, 0.25).when(F.countDistinct("hypothesis") == 2, 2.35).otherwise(6.20).alias("score"))
+    return lattice.decode(found.unionByName(empty.select("run", "slot", "candidate", "score")))
+
+
+@query("repair_loop")
+def repair_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = rows.select("conv_id", "turn", "role", F.col("text").alias("claim"), before.alias("evidence")).filter("role = 'assistant'")
+    return grounding.repair(pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "claim", "evidence"))
