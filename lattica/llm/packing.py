@@ -24,7 +24,7 @@ from lattica.llm.shared import materialize, release, table
 
 CAPACITY = 2048
 #: Distinct white-space-free strings whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -33,6 +33,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Ids(dict):
+    """Ids by string; those beyond what is remembered come from ``more``."""
+
+    more: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.more[word]
+
+
 class Encoder:
     """Token ids as little-endian bytes. Texts are cut at plain white space, which no token of this tokenizer spans, and the ids of the strings in between are remembered, up to ``REMEMBERED`` of them."""
 
@@ -43,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known = Tokenizer.from_file(path), _Ids({"": b""})
         (self.between,) = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
 
     def _new(self, words: list[str], together: int = 200) -> Iterator[tuple[str, bytes]]:
@@ -59,13 +68,12 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known, more = self.known, {}
+        known = self.known
+        known.more = {}
         missing = set().union(*split).difference(known)
         if missing:
-            (more if len(known) > REMEMBERED else known).update(self._new(list(missing)))
-        if not more:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([x if (x := known.get(w)) is not None else more[w] for w in words]) for words in split]
+            (known.more if len(known) > REMEMBERED else known).update(self._new(list(missing)))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @functools.cache

@@ -80,7 +80,8 @@ def sampled_texts(docs: DataFrame, keys: DataFrame, group: str, per_group: int)
     keys = keys.select("doc_id", group)
     counts = keys.groupBy(F.col(group).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
     # About twice as many as are wanted come through, evenly over the hashes, so that ranking them is no large task.
-    few = keys.join(counts, F.col(group) == F.col("__of")).filter(F.pmod(hashed, F.lit(1_000_000)) < 1_000_000 * 2.0 * per_group / F.col("__n"))
+    # The counts are a row for each value, far fewer than the sample that is broadcast below.
+    few = keys.join(F.broadcast(counts), F.col(group) == F.col("__of")).filter(F.pmod(hashed, F.lit(1_000_000)) < 1_000_000 * 2.0 * per_group / F.col("__n"))
     by_hash = Window.partitionBy(group).orderBy(hashed, "doc_id")
     chosen = few.select("doc_id", group).withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_group)
     return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
