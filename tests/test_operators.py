@@ -1,0 +1,126 @@
+import random
+from itertools import combinations
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lattica.functions import similarity as S
+from lattica.functions import text as T
+from lattica.operators import grounding, intervals, lattice
+from lattica.sources import readers, writers
+
+
+def test_similarities(spark):
+    pairs = [("kitten", "sitting"), ("", ""), ("a", ""), ("abc", "abc"), ("دارو", "داروی")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.indel_ratio(F.col("a"), F.col("b")).alias("x"), S.partial_ratio("a", "b").alias("p"), S.ratcliff_obershelp("a", "b").alias("r")).collect()
+    for r in rows:
+        assert abs(r.x - S.indel(r.a, r.b)) < 1e-12
+        assert r.p >= r.x - 1e-12 or not r.a or not r.b
+
+
+def test_normalisers_differ(spark):
+    r = spark.createDataFrame([("كتاب‌ها  ۀ",)], "t string").select(*(T.normalised(F.col("t"), p).alias(p) for p in ("joined", "spaced", "plain")), T.nfkc("t").alias("n")).first()
+    assert r.joined == "کتابهاه" and r.spaced == "کتاب ها ه" and r.plain.endswith("ۀ")
+
+
+def test_number_words():
+    assert T.number_words(0) == "صفر" and T.number_words(21) == "بیست و یک" and T.number_words(1100) == "هزار و صد" and T.number_words(10000) is None
+
+
+def test_clock_and_subtitle(spark):
+    r = spark.range(1).select(T.clock(F.lit(3661.0415)).alias("c"), writers.subtitle(F.lit(1), F.lit(0.0), F.lit(1.5), F.lit(" hi ")).alias("s")).first()
+    assert r.c == "01:01:01,042" and r.s == "1\n00:00:00,000 --> 00:00:01,500\nhi\n"
+
+
+def test_merge_pads_clamps_and_joins_at_the_gap(spark):
+    rows = spark.createDataFrame([("k", 1.0, 2.0, ["b"]), ("k", 4.85, 5.0, ["a"]), ("k", 50.0, 51.0, ["c"]), ("k", 3.0, 3.0, ["z"])], "k string, start double, end double, why array<string>")
+    out = intervals.merge(rows, ["k"], gap=2.85, duration=F.lit(10.0), reasons="why").collect()
+    assert [(r.start, r.end, r.why) for r in out] == [(1.0, 5.0, ["a", "b"])]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(0, 10**6))
+def test_overlap_join_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    made = lambda: [(rng.randint(0, 1), i, round(x := rng.uniform(0, 30), 2), round(x + rng.uniform(0.1, 8), 2)) for i in range(15)]
+    a, b = made(), made()
+    frames = [spark.createDataFrame(x, "k int, i int, start double, end double") for x in (a, b)]
+    got = {(r.l_i, r.r_i) for r in intervals.overlaps(*frames, ["k"], 5.0).collect()}
+    assert got == {(x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and y[2] < x[3]}
+
+
+def test_priority_resolver(spark):
+    rows = spark.createDataFrame([(1, 0.0, 5.0, 1.0), (1, 4.0, 6.0, 3.0), (1, 6.0, 7.0, 1.0)], "k int, start double, end double, priority double")
+    assert sorted((r.start, r.end) for r in intervals.resolve_by_priority(rows, "k").collect()) == [(4.0, 6.0), (6.0, 7.0)]
+
+
+def _word(h, w, at):
+    return {"hypothesis": h, "family": h, "word": w, "start": at, "end": at + 0.3, "probability": 0.9}
+
+
+def test_network_holds_every_word_once_and_aligns_equal_ones():
+    a = [_word("a", w, i * 0.4) for i, w in enumerate("the cat sat down".split())]
+    b = [_word("b", w, 0.05 + i * 0.4) for i, w in enumerate("the cat sit down".split())]
+    slots = lattice.network([a, b])
+    assert [[o["word"] for o in s] for s in slots] == [["the", "the"], ["cat", "cat"], ["sat", "sit"], ["down", "down"]]
+    slots = lattice.network([a, b[:1] + b[2:]])
+    assert sorted(id(o) for s in slots for o in s) == sorted(id(o) for o in a + b[:1] + b[2:])
+    assert all(len({o["hypothesis"] for o in s}) == len(s) for s in slots)
+
+
+def test_beam_equals_all_paths():
+    rng = random.Random(5)
+    slots = [[(w, rng.uniform(0, 3)) for w in rng.sample(["", "a", "b", "c"], 3)] for _ in range(5)]
+    pairs = {p: rng.uniform(-1, 1) for p in combinations("abc", 2)}
+
+    def best(k, last):
+        if k == len(slots):
+            return 0.0
+        return max(e + (pairs.get((last, w), -0.16) if w and last else 0.0) - lattice.REDUNDANT * (bool(w) and w == last) + best(k + 1, w or last) for w, e in slots[k])
+
+    assert abs(lattice.beam(slots, pairs)[0] - best(0, "")) < 1e-9
+
+
+def test_repair_ends_supported():
+    text, rounds, _ = grounding.repaired("Take 25 of it. Call the moon.", "take it of you call the doctor 50")
+    assert text == "Take of it." and rounds == 2
+    assert grounding.repaired("", "x") == ("", 0, [])
+    assert grounding.collapse_repeats("a a b c b c b c d".split()) == "a b c d".split()
+
+
+def test_readers(spark, tmp_path):
+    import json
+    import zipfile
+
+    (tmp_path / "m.txt").write_text("name|text\nx|one|two\ny|three\n")
+    assert {(r.name, r.text) for r in readers.pipe_manifest(spark, str(tmp_path / "m.txt")).collect()} == {("x", "one|two"), ("y", "three")}
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("a/train_1.jsonl", '{"input": "hello"}\nbroken\n{"other": 1}\n')
+        z.writestr("a/test.jsonl", '{"input": "no"}\n')
+    assert [r.text for r in readers.zipped_json_lines(spark, str(tmp_path / "z.zip"), "/train_", "input").collect()] == ["hello"]
+    (tmp_path / "l.txt").write_text("# note\n a \na\n\n")
+    assert [r.term for r in readers.term_list(spark, str(tmp_path / "l.txt")).collect()] == ["a"]
+    (tmp_path / "h").mkdir()
+    words = [{"start": 0.0, "end": 0.3, "word": " hi", "probability": 0.9}, {"start": 0.3, "end": 0.4, "word": "…", "probability": 0.1}, {"start": 0.4, "end": 0.6, "word": "you", "probability": 0.8}]
+    (tmp_path / "h/a.json").write_text(json.dumps({"run_id": "r", "model": "m", "source": "raw", "segments": [{"id": 0, "words": words}, {"id": 1, "words": []}]}))
+    rows = readers.hypotheses(spark, str(tmp_path / "h"), ["m__raw"])
+    assert [(r.id, r.normalized) for r in readers.word_observations(rows).orderBy("id").collect()] == [("m__raw:0", "hi"), ("m__raw:1", "you")]
+    try:
+        readers.hypotheses(spark, str(tmp_path / "h"), ["m__raw", "m__enhanced"])
+        raise AssertionError("a missing hypothesis passed")
+    except ValueError as e:
+        assert "m__enhanced" in str(e)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from lattica.streaming import events
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = events.windowed_counts(stream).writeStream.format("memory").queryName("windowed").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.window_start, r.event_type, r.n) for r in spark.table("windowed").collect()}
+    assert got == {(r.window_start, r.event_type, r.n) for r in events.windowed_counts(rows).collect()}
