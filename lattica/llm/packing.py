@@ -24,7 +24,7 @@ from lattica.llm.shared import materialize, release, table
 
 CAPACITY = 2048
 #: Distinct white-space-free strings whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def default_tokenizer() -> str:
