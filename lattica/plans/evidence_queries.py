@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import similarity as S
@@ -124,10 +124,10 @@ def top3_mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as one reading of its conversation: words of 0.4 seconds, shifted a little by turn."""
-    rows = table(spark, sf_dir, "conversations").filter("turn < 3").select("conv_id", "turn", "role", F.posexplode(F.slice(T.tokens(F.col("text")), 1, 40)).alias("pos", "word"))
+    """Every turn, with all its words, as one reading of its conversation: words of 0.4 seconds, shifted a little by turn."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
     start = F.col("pos") * 0.4 + F.col("turn") * 0.05
-    return rows.select(F.col("conv_id").alias("run"), F.concat(F.lit("h"), F.col("turn").cast("string")).alias("hypothesis"), F.col("role").alias("family"), "word", start.alias("start"), (start + 0.35).alias("end"), F.lit(0.9).alias("probability"))
+    return rows.select(F.col("conv_id").alias("run"), "turn", F.concat(F.lit("h"), F.col("turn").cast("string")).alias("hypothesis"), F.col("role").alias("family"), "word", start.alias("start"), (start + 0.35).alias("end"), F.lit(0.9).alias("probability"))
 
 
 @query("align_network")
@@ -137,8 +137,12 @@ def align_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("align_pair")
 def align_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn that has words with the next that has, named by the former's number."""
     words = _words(spark, sf_dir)
-    return lattice.align_pair(words.filter("hypothesis = 'h0'"), words.filter("hypothesis = 'h1'"))
+    before = F.lag("turn").over(Window.partitionBy("run").orderBy("turn"))
+    follows = words.select("run", "turn").distinct().select("run", "turn", before.alias("before")).filter("before IS NOT NULL")
+    other = words.join(follows, ["run", "turn"]).withColumn("turn", F.col("before")).drop("before")
+    return lattice.align_pair(words, other, ["run", "turn"])
 
 
 @query("beam_decode")
@@ -151,8 +155,6 @@ def beam_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("repair_loop")
 def repair_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = rows.select("conv_id", "turn", "role", F.col("text").alias("claim"), before.alias("evidence")).filter("role = 'assistant'")
