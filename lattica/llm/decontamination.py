@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import chunks, materialize, table, utf8
+from lattica.llm.shared import chunks, materialize, table, text_key, utf8
 from lattica.llm.words import gram_hashes, sliding_min, word_hashes, words_of
 
 WINDOW = 10
@@ -177,10 +177,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean_of(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without rows that hold a window of an item."""
-    bad = decontaminate(docs, items, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("__lattica_id")).distinct()
-    bad = materialize(bad, "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__lattica_id")), "left_anti")
+    """``docs`` without rows that hold a window of an item. Each row goes by its own text, whatever other rows its id has."""
+    keyed = docs.withColumn("__lattica_text", text_key(F.col(text_col)))
+    bad = decontaminate(keyed, items, "__lattica_text", text_col).filter("contaminated").select(F.col("doc_id").alias("__lattica_text")).distinct()
+    return keyed.join(materialize(bad, "contaminated"), "__lattica_text", "left_anti").select(docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import chunks, held_out, sampled_texts, table, utf8
+from lattica.llm.shared import chunks, held_out, sampled_texts, table, text_key, utf8
 
 STEPS = 64
 HIDDEN = 8
@@ -215,12 +215,13 @@ def predict(docs: DataFrame, tagger: ByteTagger, id_col: str = "doc_id", text_co
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", reject_below: float = REJECT_BELOW) -> DataFrame:
-    """``docs`` without rows in no language (``und``) or below ``reject_below``; a null id goes by its own rows' verdict."""
+    """``docs`` without rows in no language (``und``) or below ``reject_below``. Each row goes by its own text, whatever other rows its id has."""
     from lattica.llm.shared import materialize
 
-    found = predict(docs, train(docs, id_col, text_col, label_col), id_col, text_col)
-    away = materialize(found.filter((F.col("lang_pred") == "und") | (F.col("score") < reject_below)).select(F.col("doc_id").alias("__lattica_id")).distinct(), "unidentified")
-    return docs.join(away, F.col(id_col).eqNullSafe(F.col("__lattica_id")), "left_anti")
+    keyed = docs.withColumn("__lattica_text", text_key(F.col(text_col)))
+    found = predict(keyed, train(docs, id_col, text_col, label_col), "__lattica_text", text_col)
+    away = found.filter((F.col("lang_pred") == "und") | (F.col("score") < reject_below)).select(F.col("doc_id").alias("__lattica_text")).distinct()
+    return keyed.join(materialize(away, "unidentified"), "__lattica_text", "left_anti").select(docs.columns)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(text: Column) -> Column:
+    """What rows of one text share, whatever their ids: the SHA-256 of the text, null as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows never learned from: crc32 of the id as text leaves 2 modulo 4. False for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.shared import LOWER, materialize, release, table
+from lattica.llm.shared import LOWER, materialize, release, table, text_key
 
 SHINGLE = 3
 RADIUS = 2
@@ -145,19 +145,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that with its smallest id; rows of a null id stay only where no other is.
+    """``docs`` with one row of each component, that with the smallest id; a null id counts as the largest.
 
-    Rows that repeat the smallest id stay together if their texts differ, and are one row if not.
+    Rows are told apart by id and text, so that rows of one id, null or not, go by their own texts. Of rows of the smallest id
+    that is of the least text hash, and one of rows that repeat both.
     """
-    found = materialize(near_groups(docs, id_col, text_col), "near-groups")
-    away = found.filter("doc_id IS NULL AND component_id IS NOT NULL OR doc_id > component_id").select(F.col("doc_id").alias("__lattica_id")).distinct()
-    ties = found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__lattica_id")).count().filter("count > 1").select("__lattica_id")
-    away, ties = materialize(away, "near-dropped"), materialize(ties, "near-ties")
-    out = docs.join(away, F.col(id_col).eqNullSafe(F.col("__lattica_id")), "left_anti")
+    marked = docs.withColumns({"__lattica_id": F.col(id_col), "__lattica_text": text_key(F.col(text_col))})
+    groups = near_groups(marked, "__lattica_text", text_col).select(F.col("doc_id").alias("__lattica_text"), "component_id").distinct()
+    rows = materialize(marked.select("__lattica_id", "__lattica_text").join(materialize(groups, "near-groups"), "__lattica_text"), "near-rows")
+    first = F.min(F.struct(F.col("__lattica_id").isNull().alias("last"), F.col("__lattica_id").alias("id"), F.col("__lattica_text").alias("text")))
+    best = rows.groupBy("component_id").agg(first.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    several = materialize(rows.join(best, "component_id").select("__lattica_id", "__lattica_text", (F.col("__lattica_id").eqNullSafe(F.col("best.id")) & (F.col("__lattica_text") == F.col("best.text"))).alias("kept")), "near-several")
+    named = lambda x: x.select(F.col("__lattica_id").alias("__id"), F.col("__lattica_text").alias("__text"))
+    away = materialize(named(several.filter("NOT kept").select("__lattica_id", "__lattica_text").distinct()), "near-dropped")
+    ties = materialize(named(several.filter("kept").groupBy("__lattica_id", "__lattica_text").count().filter("count > 1")), "near-ties")
+    match = F.col("__lattica_id").eqNullSafe(F.col("__id")) & (F.col("__lattica_text") == F.col("__text"))
+    out = marked.join(away, match, "left_anti")
     if not ties.isEmpty():
-        tied = out.join(ties, F.col(id_col).eqNullSafe(F.col("__lattica_id")), "left_semi").dropDuplicates([id_col, text_col])
-        out = out.join(ties, F.col(id_col).eqNullSafe(F.col("__lattica_id")), "left_anti").unionByName(tied)
-    return out
+        tied = out.join(ties, match, "left_semi").dropDuplicates(["__lattica_id", "__lattica_text"])
+        out = out.join(ties, match, "left_anti").unionByName(tied)
+    return out.select(docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,3 +343,18 @@ def test_warc_reader_and_assembly(spark, tmp_path):
     got = {r.record_id: ([x.record_id for x in r.requests], [x.record_id for x in r.metadata]) for r in warc.assemble(rows.filter("record_id <> 'c'")).collect()}
     assert got == {"a": (["q"], ["m"]), None: (["lone"], [])}
     assert rows.filter("record_id = 'a'").first().payload == b"hello"
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_go_by_their_own_texts(spark, doc_id):
+    clean, words = "A quiet walk along the river in autumn", " ".join(f"w{k}" for k in range(12))
+    ids = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(doc_id, clean, "en"), (doc_id, f"x {words} y", "en"), (doc_id, None, "en"), (8, "un autre texte sans rapport avec rien", "fr")], ids)
+    items = spark.createDataFrame([(1, words)], "item_id long, text string")
+    assert {r.text for r in decontamination.clean_of(docs, items).collect()} == {clean, None, "un autre texte sans rapport avec rien"}
+    if doc_id is None:
+        known = {r.text for r in langid.identified(docs, reject_below=0.0).collect()}
+        assert clean in known and None not in known
+    near = spark.createDataFrame([(doc_id, clean), (doc_id, "Same words here"), (3, "same  WORDS here"), (doc_id, "one two three"), (doc_id, "One two three"), (doc_id, "one two three")], "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text.lower()) for r in simhash.keep_one(near).collect())
+    assert kept == sorted([(str(doc_id), clean.lower()), ("3", "same  words here"), (str(doc_id), "one two three")])
