@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction.
 
-Of every host a few different pages are parsed, and their trees are aligned with simple tree matching: siblings of one kind are
+All different pages of a host are parsed, and their trees are aligned with simple tree matching, some at a time: siblings of one kind are
 folded into one node, then children are matched in order by dynamic programming so that most nodes correspond. What stands
 at the same node with the same words on nearly all of the aligned pages is template; nodes whose words vary are slots, and the
 slot subtree with most words that are not links is where the host keeps its content. Every page is then read with the wrapper of
@@ -16,14 +16,14 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.dom import BLOCK, Element, parse
 from lattica.llm.shared import materialize, table
 
-#: Different pages of a host that its wrapper is made from, and the least number of them: the bound of the sample.
-PAGES_PER_HOST = 6
+#: Pages of a host that are aligned together, and the least number of different pages for a wrapper.
+ALIGNED = 16
 FEWEST = 3
 #: Share of the aligned pages on which template words stand.
 CONSTANT = 0.8
@@ -156,33 +156,51 @@ def merge(template: Node, page: Node) -> None:
     template.children += [q for q in page.children if id(q) not in done]
 
 
-def induced(pages: list[str]) -> dict:
-    """The wrapper of a host: marks of (path, text) that are template, and the path that holds most varying plain text."""
-    trees = [folded(h) for h in dict.fromkeys(pages)]
-    if len(trees) < FEWEST:
-        return {}
+def tallied(trees: list[Node]) -> Iterator[tuple[str, int | None, int, int]]:
+    """Of aligned trees: path, mark of a text and on how many pages it stands there; and path, None, 0 and plain characters of a node."""
     template = trees[0]
     for tree in trees[1:]:
         merge(template, tree)
-    least = max(FEWEST, CONSTANT * len(trees))
-    constant, varying, content = [], 0, []
     stack: list[tuple[Node, tuple[str, ...]]] = [(template, ())]
     while stack:
         node, path = stack.pop()
-        constant += [mark(path, text) for text, n in node.texts.items() if n >= least]
-        varying += sum(n < least for n in node.texts.values())
+        yield from (("\n".join(path), mark(path, text), n, 0) for text, n in node.texts.items())
+        if node.plain:
+            yield "\n".join(path), None, 0, node.plain
         stack += [(c, (*path, c.kind)) for c in node.children]
-    if not varying:  # copies of one page say nothing about what is template
-        return {}
 
-    def plain(node: Node) -> int:
-        return node.plain * any(n < least for n in node.texts.values()) + sum(map(plain, node.children))
 
-    node = template
-    while node.children and (child := max(node.children, key=plain)) and plain(child) >= 0.7 * plain(node) > 0 and child.kind.split(".")[0] not in ("p", "li", "ul", "ol", "table", "tbody", "tr", "td"):
-        node = child
-        content.append(node.kind)
-    return {"constant": sorted(constant), "content": content}
+def decided(constant: list[int], plain: dict[str, int]) -> dict:
+    """The wrapper: marks of (path, text) that are template, and the path below which most of the ``plain`` text of varying nodes stands."""
+    below: Counter = Counter()
+    for path, n in plain.items():
+        kinds = tuple(path.split("\n")) if path else ()
+        for k in range(len(kinds) + 1):
+            below[kinds[:k]] += n
+    children: dict[tuple, list[tuple]] = {}
+    for path in sorted(below):
+        if path:
+            children.setdefault(path[:-1], []).append(path)
+    at: tuple[str, ...] = ()
+    while at in children and (child := max(children[at], key=below.__getitem__)) and below[child] >= 0.7 * below[at] > 0 and child[-1].split(".")[0] not in ("p", "li", "ul", "ol", "table", "tbody", "tr", "td"):
+        at = child
+    return {"constant": sorted(constant), "content": list(at)}
+
+
+def induced(pages: list[str]) -> dict:
+    """The wrapper of one host's pages; empty for few pages, and where nothing varies: copies of one page do not tell what is template."""
+    trees = [folded(h) for h in dict.fromkeys(pages)]
+    if len(trees) < FEWEST:
+        return {}
+    counts, plain = Counter(), Counter()
+    for path, at, n, characters in tallied(trees):
+        if at is None:
+            plain[path] += characters
+        else:
+            counts[path, at] += n
+    least = max(FEWEST, CONSTANT * len(trees))
+    varying = {path for (path, _), n in counts.items() if n < least}
+    return decided([at for (_, at), n in counts.items() if n >= least], {p: n for p, n in plain.items() if p in varying}) if varying else {}
 
 
 def mark(path: tuple[str, ...], text: str) -> int:
@@ -228,17 +246,42 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of the hosts with template words or a content path, from the page_id, host and html of ``pages``."""
-    different = pages.select("host", F.xxhash64("html").alias("hash"), "page_id").groupBy("host", "hash").agg(F.min("page_id").alias("page_id"))
-    first = Window.partitionBy("host").orderBy("hash")
-    chosen = different.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= PAGES_PER_HOST).select("page_id", "hash")
-    sample = pages.withColumn("hash", F.xxhash64("html")).join(chosen, ["page_id", "hash"], "left_semi").select("host", "html")
+    """host and wrapper (JSON) of the hosts with template words or a content path, from the page_id, host and html of ``pages``.
+
+    All different pages of a host count. They are aligned where they are read, ``ALIGNED`` at a time, and what is counted of each
+    alignment is added up by path and text.
+    """
+    hashed = pages.withColumn("hash", F.xxhash64("html"))
+    sizes = hashed.groupBy("host", "hash").count()
+    again = materialize(sizes.filter("count > 1").select("host", "hash"), "repeated-pages")
+    least = sizes.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= FEWEST)
+    least = materialize(least.select("host", F.greatest(F.lit(float(FEWEST)), CONSTANT * F.col("pages")).alias("least")), "hosts")
+    once = hashed.join(again, ["host", "hash"], "left_anti").unionByName(hashed.join(again, ["host", "hash"], "left_semi").dropDuplicates(["host", "hash"]))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part, by, out = batch.slice(at, 1000), {}, []
+                for k, name in enumerate(part.column("host").to_pylist()):
+                    by.setdefault(name, []).append(k)
+                for name, rows in by.items():
+                    for k in range(0, len(rows), ALIGNED):
+                        out += [(name, *x) for x in tallied([folded(part.column("html")[r].as_py()) for r in rows[k : k + ALIGNED]])]
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "mark", "n", "plain"])
+
+    found = once.select("host", "html").mapInArrow(tally, "host string, path string, mark long, n long, plain long").groupBy("host", "path", "mark").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
+    found = materialize(found.join(least, "host"), "tally")
+    varying = found.filter("mark IS NOT NULL AND n < least").select("host", "path").distinct()
+    known = found.filter("n >= least").select("host", "path", "mark", "plain").unionByName(found.filter("mark IS NULL").join(varying, ["host", "path"], "left_semi").select("host", "path", "mark", "plain"))
+    known = known.join(varying.select("host").distinct(), "host", "left_semi")
 
-    def induce(key: tuple, pages: pa.Table) -> pa.Table:
-        found = induced(sorted(pages.column("html").drop_null().to_pylist()))
-        return pa.table({"host": pa.array([key[0].as_py()] * bool(found), pa.string()), "wrapper": pa.array([json.dumps(found)] * bool(found), pa.string())})
+    def decide(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        wrapper = decided([r["mark"] for r in rows if r["mark"] is not None], {r["path"]: r["plain"] for r in rows if r["mark"] is None})
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(wrapper)], pa.string())})
 
-    return sample.groupBy("host").applyInArrow(induce, "host string, wrapper string")
+    return known.groupBy("host").applyInArrow(decide, "host string, wrapper string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -248,7 +291,7 @@ def extract(pages: DataFrame) -> DataFrame:
     give rows that repeat.
     """
     rows = pages.select(F.col("page_id"), F.col("url"), host(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    found = materialize(wrappers(rows.filter("page_id IS NOT NULL")), "wrappers")
+    found = materialize(wrappers(rows), "wrappers")
     schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -358,3 +359,12 @@ def test_rows_of_one_id_go_by_their_own_texts(spark, doc_id):
     near = spark.createDataFrame([(doc_id, clean), (doc_id, "Same words here"), (3, "same  WORDS here"), (doc_id, "one two three"), (doc_id, "One two three"), (doc_id, "one two three")], "doc_id long, text string")
     kept = sorted((str(r.doc_id), r.text.lower()) for r in simhash.keep_one(near).collect())
     assert kept == sorted([(str(doc_id), clean.lower()), ("3", "same  words here"), (str(doc_id), "one two three")])
+
+
+def test_wrappers_count_every_page_of_a_host(spark):
+    """A line on 35 of 40 pages is template, one on 20 of them is not; each way 6 pages may tell otherwise."""
+    page = "<body><div class=top>{0}</div><div class=story><p>Own words of page {1}.</p>{2}</div></body>"
+    htmls = [page.format("Often here" if k % 8 else f"Other {k}", k, "<p>Half the pages.</p>" * (k % 2)) for k in range(40)]
+    pages = spark.createDataFrame([(k, "http://a/", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    found = extraction.wrappers(pages.withColumn("host", F.lit("a"))).collect()
+    assert set(json.loads(found[0].wrapper)["constant"]) == {extraction.mark(("body", "div.top"), "Often here")}
