@@ -122,16 +122,19 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
             if room is None:
                 break
             first, n = bins[room].pop()
-            take = min(n, left)
+            # A bin just used is the tightest as long as it fits, so it is filled up before the next one.
+            each = room // length
+            full = min(n, left // each)
+            take, size = (full, each) if full else (1, left)
             if take < n:
                 bins[room].append((first + take, n - take))
             if not bins[room]:
                 tree.set(room, False)
-            rules.append((length, rank, first, capacity - room, 1))
-            if room > length:
-                bins[room - length].append((first, take))
-                tree.set(room - length, True)
-            left, rank = left - take, rank + take
+            rules.append((length, rank, first, capacity - room, size))
+            if rest := room - size * length:
+                bins[rest].append((first, take))
+                tree.set(rest, True)
+            left, rank = left - take * size, rank + take * size
         each = capacity // length
         for n, size in ((left // each, each), (1, left % each)):
             if n and size:

@@ -368,3 +368,16 @@ def test_wrappers_count_every_page_of_a_host(spark):
     pages = spark.createDataFrame([(k, "http://a/", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
     found = extraction.wrappers(pages.withColumn("host", F.lit("a"))).collect()
     assert set(json.loads(found[0].wrapper)["constant"]) == {extraction.mark(("body", "div.top"), "Often here")}
+
+
+def test_packing_fills_the_tightest_bin_up():
+    """Strict best-fit decreasing needs two sequences; one piece into each open bin needs three."""
+    histogram = {12: 2, 3: 2, 2: 5}
+    plan, used = packing.best_fit_plan(histogram, 20), {}
+    for (n, rank, first, offset, each), end in zip(plan, [*plan[1:], None], strict=True):
+        last = end[1] if end and end[0] == n else histogram[n]
+        for k in range(last - rank):
+            used.setdefault(first + k // each, []).append((offset + k % each * n, n))
+    assert sorted(used) == [0, 1] and sum(map(len, used.values())) == 9
+    for pieces in used.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:], strict=False)) and sum(n for _, n in pieces) <= 20
