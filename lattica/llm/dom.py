@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -48,24 +49,60 @@ class Element:
             stack += [c for c in reversed(e.children) if isinstance(c, Element)]
 
 
+class _Tags:
+    """Where the tags of a page end, in time proportional to its length whatever its quotes."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.hopeless = html, html.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``; quoted ones don't. Where a quote is not closed, it is the next one; -1 for none.
+
+        Places behind closing quotes from which no end was found are remembered, so that no run of quotes is gone through twice.
+        """
+        if at > self.last:
+            return -1
+        place, passed = at, []
+        while (m := _STOP.search(self.html, place)) is not None:
+            if m[0] == ">":
+                return m.start()
+            close = self.html.find(m[0], m.end())
+            place = close + 1
+            if close < 0 or place in self.hopeless:
+                break
+            passed.append(place)
+        self.hopeless.update(passed)
+        return self.html.find(">", at)
+
+
 def parse(html: str) -> Element:
     """The tree of a page under an element of no name. Comments, declarations and the content of scripts and the like are left out; character references are decoded."""
-    root = Element("")
-    stack, at, end = [root], 0, len(html)
+    root, tags = Element(""), _Tags(html)
+    stack, at, text = [root], 0, 0
     lowered = None
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            _add_text(stack[-1], html[at:])
-            break
-        if m.start() > at:
-            _add_text(stack[-1], html[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+    while (at := html.find("<", at)) >= 0:
+        follows = html[at + 1 : at + 2]
+        closing = follows == "/"
+        if follows in ("!", "?"):
+            if html.startswith("<!--", at):
+                end, width = html.find("-->", at + 4), 3
+            elif html.startswith("<![CDATA[", at):
+                end, width = html.find("]]>", at + 9), 3
+            else:
+                end, width = html.find(">", at), 1
+            after = len(html) if end < 0 else end + width
+            _add_text(stack[-1], html[text:at])
+            at = text = after
+            continue
+        m = _NAME.match(html, at + 1 + closing)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:  # not a tag: the sign is text
+            at += 1
             continue
-        tag = name.lower()
-        if m.group(1):
+        _add_text(stack[-1], html[text:at])
+        tag, attributes, at = m[0].lower(), html[m.end() : end], end + 1
+        text = at
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -75,20 +112,22 @@ def parse(html: str) -> Element:
             _close(stack, {"p"}, _HOLDS_P)
         if tag in _ENDS:
             _close(stack, *_ENDS[tag])
-        element = Element(tag, m.group(3))
+        element = Element(tag, attributes)
         stack[-1].children.append(element)
         if tag in RAW:
             if lowered is None:
                 lowered = html.lower() if html.isascii() else re.sub("[A-Z]+", lambda x: x[0].lower(), html)
             close = lowered.find(f"</{tag}", at)
-            at = end if close < 0 else close
-        elif tag not in VOID and not (m.group(3).endswith("/") and tag not in BLOCK) and len(stack) < DEEPEST:
+            at = text = len(html) if close < 0 else close
+        elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK) and len(stack) < DEEPEST:
             stack.append(element)
+    _add_text(stack[-1], html[text:])
     return root
 
 
 def _add_text(element: Element, text: str) -> None:
-    element.children.append(unescape(text) if "&" in text else text)
+    if text:
+        element.children.append(unescape(text) if "&" in text else text)
 
 
 def _close(stack: list[Element], tags: set[str], until: set[str]) -> None:

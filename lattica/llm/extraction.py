@@ -1,19 +1,23 @@
 """Main text of web pages by wrapper induction.
 
 All different pages of a host are parsed, and their trees are aligned with simple tree matching, some at a time: siblings of one kind are
-folded into one node, then children are matched in order by dynamic programming so that most nodes correspond. What stands
-at the same node with the same words on nearly all of the aligned pages is template; nodes whose words vary are slots, and the
-slot subtree with most words that are not links is where the host keeps its content. Every page is then read with the wrapper of
-its host: template words and parts marked as something else than content are left out, what is left of the content is the text.
+folded into one node, then children are matched in order so that most nodes correspond. What stands at the same node with the same words
+on nearly all pages is template; nodes whose words vary are slots. The wrapper of a host holds its template words, the part of the tree
+where its slots have most text, and the slots that hold links alone. Every page is then read with the wrapper of its host: what is left
+of that part without template words and link slots, and without elements inside of it that name themselves something else, is the text.
+
+Names, roles and tags are a prior only: an article or main element makes text count ``PRIOR`` times, an element named like a sidebar makes
+it count that many times less, and where a host's text stands in such an element all the same, it is the content. A page without a wrapper
+(a host of fewer than ``FEWEST`` different pages, no URL, or a layout of its own) is decided in the same way by itself, its marks obeyed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,45 +29,76 @@ from lattica.llm.shared import materialize, table
 #: Pages of a host that are aligned together, and the least number of different pages for a wrapper.
 ALIGNED = 16
 FEWEST = 3
-#: Share of the aligned pages on which template words stand.
+#: Share of the pages on which template words stand.
 CONSTANT = 0.8
-
-_NOT_CONTENT = {"script", "style", "noscript", "template", "nav", "aside", "footer", "form", "button", "select", "textarea", "input", "iframe", "svg", "canvas", "object", "head", "title", "dialog", "menu", "xmp", "noembed", "noframes", "audio", "video", "math", "option", "datalist", "label", "fieldset"}
+#: How many times the text of article and main elements counts, and how much less that of marked ones; share of the weighted text that a part has to hold.
+PRIOR = 8.0
+MOST = 0.7
+#: Share of link characters from which a slot is a menu.
+LINKS = 0.9
+
+# Never text, or never part of an article.
+_NEVER = {
+    "script", "style", "noscript", "template", "nav", "aside", "footer", "button", "select", "textarea", "input", "iframe", "svg", "canvas", "object", "head", "title", "dialog", "menu", "xmp",
+    "noembed", "noframes", "audio", "video", "option", "datalist",
+}
+_FORM = {"form", "label", "fieldset"}
+# Names of what is no article, and words that may stand beside them in a name; a name with any other word tells nothing.
 _NAMES = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar navbar nav navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr "
-    "notice notification alert modal popup overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments reply replies respond disqus "
-    "discussion pagination pager widget toolbar skip paywall disclaimer copyright legal tracking".split()
+    "notice notices notification alert modal popup overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments commentlist commentform "
+    "reply replies respond disqus discussion pagination pager widget widgets toolbar skip paywall disclaimer copyright legal tracking".split()
+)
+_BESIDE = set(
+    "left right top bottom upper lower first last box list item items area block container wrapper wrap inner outer section panel bar button buttons link links icon icons row col column content group "
+    "text title heading body form main page site blog post entry article story user reader readers the and of by for my new global primary secondary small large mobile desktop inline sticky fixed hidden".split()
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PARTS = {"p", "li", "ul", "ol", "dl", "table", "tbody", "tr", "td", "th", "blockquote", "pre"}
 
 
-def marked_other(e: Element) -> bool:
-    """Whether an element by its own name, role, class or id is something else than content."""
-    if e.tag in _NOT_CONTENT:
-        return True
-    if e.tag in ("html", "body", "main", "article", "") or not e.attributes.strip(" /"):
-        return e.tag == "header" and not _heads_article(e)
-    if e.has("hidden") or e.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", e.get("style")) or set(e.get("role").lower().split()) & _ROLES:
-        return True
-    names = {x.lower() for x in _PIECE.findall(e.get("class", "id"))}
-    if names & _NAMES:
-        return not any(x.tag in ("article", "main", "h1") for x in e.walk() if x is not e)
-    return e.tag == "header" and not _heads_article(e)
+def _named_other(value: str) -> bool:
+    """Whether one of the names in a class or id says something else than content, all its words taken together."""
+    for name in value.split():
+        pieces = {x.lower() for x in _PIECE.findall(name)}
+        if pieces & _NAMES and all(x in _NAMES or x in _BESIDE or len(x) == 1 for x in pieces):
+            return True
+    return False
 
 
-def _heads_article(e: Element) -> bool:
-    return any(x.tag in ("h1", "h2") for x in e.walk()) and not any(x.tag in ("nav", "form", "ul") for x in e.walk())
+def standing(e: Element, path: tuple[str, ...] = ()) -> bool | None:
+    """None for an element that is never content, True for one marked as something else by its tag, role or names, else False.
 
-
-def kind(e: Element) -> str:
-    """Tag and class words without digits: what folds and matches."""
+    Names and roles say nothing of an element that holds an article or a main heading, unless it stands in an article itself.
+    """
+    if e.tag in _NEVER:
+        return None
+    if e.attributes.strip(" /"):
+        if e.has("hidden") or e.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", e.get("style")):
+            return None
+        if e.tag not in ("html", "body", "main") and (set(e.get("role").lower().split()) & _ROLES or _named_other(e.get("class", "id"))):
+            return bool(_within(path, "article")) or not any(x.tag in ("article", "main", "h1") for x in e.walk() if x is not e)
+    if e.tag == "header":
+        below = {x.tag for x in e.walk()}
+        return not below & {"h1", "h2"} or bool(below & {"nav", "form", "ul"})
+    if e.tag in _FORM:
+        below = Counter(x.tag for x in e.walk())
+        return e.tag != "form" or below["p"] < 3 and not below.keys() & {"article", "main", "h1", "h2"}
+    return False
+
+
+def kind(e: Element, marked: bool = False) -> str:
+    """Tag and class words without digits, with ! if marked: what folds and matches."""
     names = sorted({x.lower() for x in _PIECE.findall(e.get("class"))}) if "class" in e.attributes else []
-    return ".".join([e.tag, *names])
+    return ".".join([e.tag, *names]) + "!" * marked
 
 
-def blocks(root: Element, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """Path, text with single spaces and number of link characters of each block of content below ``root``, in page order."""
+Block = tuple[tuple[str, ...], str, int]
+
+
+def blocks(root: Element) -> Iterator[Block]:
+    """Path, text with single spaces and number of link characters of each block that may be content, in page order."""
     words: list[str] = []
     links = 0
 
@@ -71,9 +106,9 @@ def blocks(root: Element, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[st
         nonlocal words, links
         text, n = " ".join("".join(words).split()), links
         words, links = [], 0
-        return text, n
+        return text, min(n, len(text))
 
-    stack: list = [(root, path, 0)]
+    stack: list = [(root, (), 0)]
     while stack:
         item, where, linked = stack.pop()
         if item is None:  # the end of a block
@@ -83,108 +118,163 @@ def blocks(root: Element, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[st
         elif isinstance(item, str):
             words.append(item)
             links += len(item.strip()) * linked
-        elif item is root or not marked_other(item):
-            is_block = item.tag in BLOCK
-            inner = where + (kind(item),) if is_block and item is not root else where
-            if is_block:
+        else:
+            marked = standing(item, where) if item is not root else False
+            if marked is None:
+                continue
+            inner = where
+            if item is not root and (marked or item.tag in BLOCK):
                 text, n = taken()
                 if text:
                     yield where, text, n
+                inner = (*where, kind(item, marked))
                 stack.append((None, inner, 0))
             linked = linked or item.tag == "a"
             stack += [(c, inner, linked) for c in reversed(item.children)]
     text, n = taken()
     if text:
-        yield path, text, n
+        yield (), text, n
 
 
 class Node:
-    """A node of a template: kind, folded children, and on how many of the pages each of its own texts stands."""
+    """A node of a template: kind, folded children, and of each of its own texts the pages, the plain and the link characters."""
 
-    __slots__ = ("children", "kind", "pages", "plain", "texts")
+    __slots__ = ("children", "kind", "texts")
 
     def __init__(self, name: str):
-        self.kind, self.children, self.texts, self.pages, self.plain = name, [], Counter(), 1, 0
+        self.kind, self.children, self.texts = name, [], {}
+
+    def add(self, text: str, pages: int, plain: int, linked: int) -> None:
+        old = self.texts.get(text, (0, 0, 0))
+        self.texts[text] = (old[0] + pages, old[1] + plain, old[2] + linked)
 
 
 def folded(html: str) -> Node:
-    """The content blocks of a page as a tree in which siblings of one kind are one node."""
+    """The blocks of a page as a tree in which siblings of one kind are one node; a text that a node has several times counts once."""
     root = Node("")
+    at_path: dict[tuple[str, ...], Node] = {(): root}
     for path, text, links in blocks(parse(html)):
-        at = root
-        for name in path:
-            child = next((c for c in at.children if c.kind == name), None)
-            if child is None:
-                at.children.append(child := Node(name))
-            at = child
-        at.texts[text] = 1
-        at.plain += max(0, len(text) - links)
+        for k in range(len(path)):
+            if path[: k + 1] not in at_path:
+                at_path[path[: k + 1]] = child = Node(path[k])
+                at_path[path[:k]].children.append(child)
+        at_path[path].texts[text] = (1, len(text) - links, links)
     return root
 
 
-def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the most node pairs of equal kind that keep order and ancestry, and the pairs of children among them."""
-    if a.kind != b.kind:
-        return 0, []
-    x, y = a.children, b.children
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    each = [[matching(p, q)[0] for q in y] for p in x]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + each[i - 1][j - 1])
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if each[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + each[i - 1][j - 1]:
-            pairs.append((x[i - 1], y[j - 1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[-1][-1] + 1, pairs[::-1]
+Matching = tuple[int, list]
 
 
-def merge(template: Node, page: Node) -> None:
+def matching(a: Node, b: Node) -> Matching:
+    """Simple tree matching of two nodes of one kind: how many nodes correspond at most, in order and under corresponding parents, and the pairs of children with their own matchings.
+
+    Children of different kinds never correspond, and folding leaves few of one kind, so the best pairs are the heaviest chain that
+    rises on both sides. It is found with a tree of best weights, in n log n.
+    """
+    where: dict[str, list[int]] = {}
+    for j, q in enumerate(b.children):
+        where.setdefault(q.kind, []).append(j)
+    size = len(b.children) + 1
+    heaviest: list[tuple[int, tuple | None]] = [(0, None)] * (size + 1)
+
+    for p in a.children:
+        found = []
+        for j in where.get(p.kind, ()):
+            inner, at, best = matching(p, b.children[j]), j, (0, None)
+            while at > 0:  # the heaviest chain that ends before j
+                best = max(best, heaviest[at], key=lambda x: x[0])
+                at &= at - 1
+            found.append((j, best[0] + inner[0], ((p, b.children[j], inner), best[1])))
+        for j, weight, chain in found:
+            at = j + 1
+            while at <= size:
+                if heaviest[at][0] < weight:
+                    heaviest[at] = (weight, chain)
+                at += at & -at
+    total, chain, at = 0, None, size
+    while at > 0:
+        if heaviest[at][0] > total:
+            total, chain = heaviest[at]
+        at &= at - 1
+    pairs = []
+    while chain:
+        pairs.append(chain[0])
+        chain = chain[1]
+    return total + 1, pairs[::-1]
+
+
+def merge(template: Node, page: Node, found: Matching | None = None) -> None:
     """Align a page with the template and add it: matched nodes count it, others are put in behind."""
-    _, pairs = matching(template, page)
-    template.texts.update(page.texts)
-    template.pages += page.pages
-    template.plain += page.plain
-    for p, q in pairs:
-        merge(p, q)
-    done = {id(q) for _, q in pairs}
+    _, pairs = found or matching(template, page)
+    for text, counts in page.texts.items():
+        template.add(text, *counts)
+    for p, q, inner in pairs:
+        merge(p, q, inner)
+    done = {id(q) for _, q, _ in pairs}
     template.children += [q for q in page.children if id(q) not in done]
 
 
-def tallied(trees: list[Node]) -> Iterator[tuple[str, int | None, int, int]]:
-    """Of aligned trees: path, mark of a text and on how many pages it stands there; and path, None, 0 and plain characters of a node."""
+def tallied(trees: list[Node]) -> Iterator[tuple[str, str, int, int, int]]:
+    """Of aligned trees: path, mark of a text, on how many pages it stands there, and its plain and link characters on them."""
     template = trees[0]
     for tree in trees[1:]:
         merge(template, tree)
     stack: list[tuple[Node, tuple[str, ...]]] = [(template, ())]
     while stack:
         node, path = stack.pop()
-        yield from (("\n".join(path), mark(path, text), n, 0) for text, n in node.texts.items())
-        if node.plain:
-            yield "\n".join(path), None, 0, node.plain
+        name = "\n".join(path)
+        yield from ((name, mark(path, text), *counts) for text, counts in node.texts.items())
         stack += [(c, (*path, c.kind)) for c in node.children]
 
 
-def decided(constant: list[int], plain: dict[str, int]) -> dict:
-    """The wrapper: marks of (path, text) that are template, and the path below which most of the ``plain`` text of varying nodes stands."""
-    below: Counter = Counter()
-    for path, n in plain.items():
+def mark(path: tuple[str, ...], text: str) -> str:
+    """128 bits that stand for a text at a node."""
+    return hashlib.md5("\n".join((*path, text)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _within(path: tuple[str, ...], part: str) -> int | None:
+    """How many kinds of a path lead into the first article (or main) element that no mark stands before or on."""
+    for k, name in enumerate(path):
+        if name.endswith("!"):
+            return None
+        if name == part or name.startswith(part + "."):
+            return k + 1
+    return None
+
+
+def decided(slots: dict[str, tuple[int, int]], constant: list[str] = (), marked: float = 1 / PRIOR) -> dict:
+    """The wrapper of slots (path to plain and link characters): marks of template words, the part or path that holds the content, and link slots.
+
+    Text under marks weighs ``marked``. Content are all article elements, or else all main elements, if they hold ``MOST`` of the weight;
+    otherwise it is what stands below the deepest path that does.
+    """
+    weights: dict[tuple[str, ...], float] = {}
+    parts = dict.fromkeys(("article", "main"), 0.0)
+    for path, (plain, linked) in slots.items():
         kinds = tuple(path.split("\n")) if path else ()
+        inside = [part for part in parts if _within(kinds, part)]
+        weights[kinds] = (plain + linked * bool(inside)) * (PRIOR if inside else marked if any(k.endswith("!") for k in kinds) else 1.0)
+        for part in inside:
+            parts[part] += weights[kinds]
+    total = sum(weights.values())
+    out = {"constant": sorted(constant), "part": "", "content": [], "links": sorted(p for p, (plain, linked) in slots.items() if linked and linked >= LINKS * (plain + linked))}
+    if not total:
+        return out | {"part": None}
+    for part, weight in parts.items():
+        if weight >= MOST * total:
+            return out | {"part": part}
+    below: Counter = Counter()
+    for kinds, weight in weights.items():
         for k in range(len(kinds) + 1):
-            below[kinds[:k]] += n
+            below[kinds[:k]] += weight
     children: dict[tuple, list[tuple]] = {}
     for path in sorted(below):
         if path:
             children.setdefault(path[:-1], []).append(path)
     at: tuple[str, ...] = ()
-    while at in children and (child := max(children[at], key=below.__getitem__)) and below[child] >= 0.7 * below[at] > 0 and child[-1].split(".")[0] not in ("p", "li", "ul", "ol", "table", "tbody", "tr", "td"):
+    while at in children and (child := max(children[at], key=below.__getitem__)) and below[child] >= MOST * below[at] and child[-1].split(".")[0] not in _PARTS:
         at = child
-    return {"constant": sorted(constant), "content": list(at)}
+    return out | {"content": list(at)}
 
 
 def induced(pages: list[str]) -> dict:
@@ -192,52 +282,43 @@ def induced(pages: list[str]) -> dict:
     trees = [folded(h) for h in dict.fromkeys(pages)]
     if len(trees) < FEWEST:
         return {}
-    counts, plain = Counter(), Counter()
-    for path, at, n, characters in tallied(trees):
-        if at is None:
-            plain[path] += characters
-        else:
-            counts[path, at] += n
     least = max(FEWEST, CONSTANT * len(trees))
-    varying = {path for (path, _), n in counts.items() if n < least}
-    return decided([at for (_, at), n in counts.items() if n >= least], {p: n for p, n in plain.items() if p in varying}) if varying else {}
-
-
-def mark(path: tuple[str, ...], text: str) -> int:
-    return crc32("\n".join((*path, text)).encode()) << 20 | len(text) & 0xFFFFF
-
-
-def _articles(root: Element) -> list[tuple[Element, tuple[str, ...]]]:
-    """Outermost article elements outside of what is marked as other; else the main element; with their paths."""
-    found: dict[str, list] = {"article": [], "main": []}
-    stack: list[tuple[Element, tuple[str, ...]]] = [(root, ())]
-    while stack:
-        e, path = stack.pop()
-        if e is not root and marked_other(e):
+    constant, slots = [], {}
+    for path, at, n, plain, linked in tallied(trees):
+        if n >= least:
+            constant.append(at)
+        else:
+            old = slots.get(path, (0, 0))
+            slots[path] = (old[0] + plain, old[1] + linked)
+    return decided(slots, constant) if slots else {}
+
+
+def chosen(found: list[Block], wrapper: dict) -> list[str]:
+    """The texts of the blocks that a wrapper takes for content."""
+    constant, links, content, part = set(wrapper["constant"]), set(wrapper["links"]), tuple(wrapper["content"]), wrapper["part"]
+    out = []
+    for path, text, _ in found if part is not None else ():
+        inside = _within(path, part) if part else len(content) if path[: len(content)] == content else None
+        if inside is None or any(k.endswith("!") for k in path[inside:]) or part != "article" and "\n".join(path) in links:
             continue
-        here = path if e is root or e.tag not in BLOCK else (*path, kind(e))
-        if e.tag in found:
-            found[e.tag].append((e, here))
-            if e.tag == "article":
-                continue
-        stack += [(c, here) for c in reversed(e.children) if isinstance(c, Element)]
-    return found["article"] or found["main"][:1]
+        if not constant or mark(path, text) not in constant:
+            out.append(text)
+    return out
 
 
 def main_text(html: str, wrapper: dict | None = None) -> str:
-    """The article of a page, its blocks joined by spaces. Without a wrapper of the host the page's own marks decide."""
-    root = parse(html)
-    template = set(wrapper["constant"]) if wrapper else set()
-    parts = [[(p, t, n) for p, t, n in blocks(e, path) if not template or mark(p, t) not in template] for e, path in _articles(root)]
-    parts = [p for p in parts if p]
-    if parts:
-        longest = max(sum(len(t) for _, t, _ in p) for p in parts)
-        return " ".join(t for p in parts if 5 * sum(len(t) for _, t, _ in p) >= longest for _, t, _ in p)
-    found = [(p, t, n) for p, t, n in blocks(root) if mark(p, t) not in template]
-    content = tuple(wrapper["content"]) if wrapper else ()
-    if content and any(p[: len(content)] == content for p, _, _ in found):
-        found = [x for x in found if x[0][: len(content)] == content]
-    return " ".join(t for _, t, n in found if 2 * n < len(t))
+    """The article of a page, its blocks joined by spaces. Without a wrapper, or where it finds nothing, the page's own tree and marks decide."""
+    found = list(blocks(parse(html)))
+    if wrapper:
+        if texts := chosen(found, wrapper):
+            return " ".join(texts)
+        constant = set(wrapper["constant"])
+        found = [x for x in found if mark(x[0], x[1]) not in constant]
+    slots: dict[str, tuple[int, int]] = {}
+    for path, text, linked in found:
+        old = slots.get("\n".join(path), (0, 0))
+        slots["\n".join(path)] = (old[0] + len(text) - linked, old[1] + linked)
+    return " ".join(chosen(found, decided(slots, marked=0.0)))
 
 
 def host(url: Column) -> Column:
@@ -245,18 +326,22 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+_TALLY = {"host": "string", "path": "string", "mark": "string", "n": "long", "plain": "long", "linked": "long"}
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of the hosts with template words or a content path, from the page_id, host and html of ``pages``.
+    """host and wrapper (JSON) of the hosts where something varies, from the host and html of ``pages``; pages of host '' belong to none.
 
     All different pages of a host count. They are aligned where they are read, ``ALIGNED`` at a time, and what is counted of each
-    alignment is added up by path and text.
+    alignment is added up by node and text, so that no host's pages come together in one task.
     """
-    hashed = pages.withColumn("hash", F.xxhash64("html"))
+    hashed = pages.filter("host <> ''").select("host", "html").withColumn("hash", F.xxhash64("html"))
     sizes = hashed.groupBy("host", "hash").count()
     again = materialize(sizes.filter("count > 1").select("host", "hash"), "repeated-pages")
     least = sizes.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= FEWEST)
     least = materialize(least.select("host", F.greatest(F.lit(float(FEWEST)), CONSTANT * F.col("pages")).alias("least")), "hosts")
     once = hashed.join(again, ["host", "hash"], "left_anti").unionByName(hashed.join(again, ["host", "hash"], "left_semi").dropDuplicates(["host", "hash"]))
+    types = {"string": pa.string(), "long": pa.int64()}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,18 +352,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 for name, rows in by.items():
                     for k in range(0, len(rows), ALIGNED):
                         out += [(name, *x) for x in tallied([folded(part.column("html")[r].as_py()) for r in rows[k : k + ALIGNED]])]
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "mark", "n", "plain"])
+                columns = list(zip(*out, strict=True)) or [()] * len(_TALLY)
+                yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(columns, _TALLY.values(), strict=True)], names=list(_TALLY))
 
-    found = once.select("host", "html").mapInArrow(tally, "host string, path string, mark long, n long, plain long").groupBy("host", "path", "mark").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
+    found = once.select("host", "html").mapInArrow(tally, ", ".join(f"{k} {v}" for k, v in _TALLY.items())).groupBy("host", "path", "mark").agg(*(F.sum(c).alias(c) for c in ("n", "plain", "linked")))
     found = materialize(found.join(least, "host"), "tally")
-    varying = found.filter("mark IS NOT NULL AND n < least").select("host", "path").distinct()
-    known = found.filter("n >= least").select("host", "path", "mark", "plain").unionByName(found.filter("mark IS NULL").join(varying, ["host", "path"], "left_semi").select("host", "path", "mark", "plain"))
-    known = known.join(varying.select("host").distinct(), "host", "left_semi")
+    slots = found.filter("n < least").groupBy("host", "path").agg(F.sum("plain").alias("plain"), F.sum("linked").alias("linked"))
+    varying = slots.select("host").distinct()
+    constant = found.filter("n >= least").join(varying, "host", "left_semi").select("host", "path", "mark", F.lit(0).cast("long").alias("plain"), F.lit(0).cast("long").alias("linked"))
+    known = constant.unionByName(slots.withColumn("mark", F.lit(None).cast("string")))
 
     def decide(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        wrapper = decided([r["mark"] for r in rows if r["mark"] is not None], {r["path"]: r["plain"] for r in rows if r["mark"] is None})
+        rows = rows.to_pylist()  # nodes and template words of one host, however many pages it has
+        wrapper = decided({r["path"]: (r["plain"], r["linked"]) for r in rows if r["mark"] is None}, [r["mark"] for r in rows if r["mark"] is not None])
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(wrapper)], pa.string())})
 
     return known.groupBy("host").applyInArrow(decide, "host string, wrapper string")
@@ -288,7 +374,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars. Null and empty html give an empty text.
 
     Hosts with fewer than three different pages, and pages without a url, are read by their own marks alone. Rows that repeat
-    give rows that repeat.
+    give rows that repeat; other columns, whatever their names, are ignored. Wrappers are broadcast while they are small; beyond
+    that the pages are shuffled once by host, where adaptive execution splits the hosts that are too large for a task.
     """
     rows = pages.select(F.col("page_id"), F.col("url"), host(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     found = materialize(wrappers(rows), "wrappers")

@@ -296,11 +296,54 @@ def test_wrapper_tells_template_from_slots():
     pages = [PAGE.format(k) for k in range(5)]
     wrapper = extraction.induced(pages)
     assert extraction.main_text(pages[2], wrapper) == "Title 2 Body 2 of the story & more. Second 2."
+    assert extraction.main_text(pages[2]) == "Title 2 Body 2 of the story & more. Second 2. Read our terms first."
     assert extraction.induced([pages[0]] * 5) == {} and extraction.induced(pages[:2]) == {}
 
 
+LONG = "some words that fill a paragraph well enough to weigh more than what stands around it"
+#: A page of a host, and the text of it with and without the host's wrapper.
+NEED_WRAPPERS = [
+    ("<body><form id=aspnet><div class=hd>Shop</div><div class=txt>Own {0} " + LONG + "</div><div class='ad'>buy {0}</div></form><p>Foot", "Own {0} " + LONG, "Foot"),
+    ("<body><div class=top>Site</div><div class='widget'><div>Own {0} " + LONG + "</div></div><div class=x><a href=a>one {0}</a> <a>two {0}</a></div><p>Foot", "Own {0} " + LONG, "Site Foot"),
+    ("<body><article class=teaser>Same teaser</article><article><p>First {0} " + LONG + "</article><article><p>Tiny {0}</article>", "First {0} " + LONG + " Tiny {0}", "Same teaser First {0} " + LONG + " Tiny {0}"),
+    ("<body><div class=crumbs>You are here</div><main><p>Own {0} " + LONG + "<p>Share this</main><main>More {0}</main>", "Own {0} " + LONG + " More {0}", "Own {0} " + LONG + " Share this More {0}"),
+]
+
+
+@pytest.mark.parametrize("page, text, alone", NEED_WRAPPERS)
+def test_wrapper_changes_the_text(page, text, alone):
+    pages = [page.format(k) for k in range(4)]
+    wrapper = extraction.induced(pages)
+    assert [extraction.main_text(p, wrapper) for p in pages] == [text.format(k) for k in range(4)]
+    assert [extraction.main_text(p) for p in pages] == [alone.format(k) for k in range(4)]
+
+
+def test_marks_alone_drop_no_article_text():
+    for page, text in [
+        ("<article><h1>A</h1><div class='legal-analysis'>Deep law.</div><p>E = <math><mi>m</mi></math> c</article>", "A Deep law. E = m c"),
+        ("<article><p>" + LONG * 6 + "</article><article>Tiny</article>", LONG * 6 + " Tiny"),
+        ("<main>a</main><main>b</main>", "a b"),
+        ("<body><form><div><h1>T</h1><p>Hello</div></form>", "T Hello"),
+        ("<article><p><a href=x>All of it a link</a></article>", "All of it a link"),
+        ("<body><form><label>User</label><input></form>", ""),
+        ("<article>Text<section class='comments'><article>I like it</article></section></article>", "Text"),
+    ]:
+        assert extraction.main_text(page) == text
+
+
+def test_matching_is_largest_and_keeps_order():
+    tree = lambda x: extraction.folded("".join(f"<{t}>{t}</{t}>" for t in x.split()))
+    assert extraction.matching(tree("p ul ol pre"), tree("ul pre p ol"))[0] == 3
+    assert extraction.matching(tree("p ul"), tree("table"))[0] == 1
+
+
+def test_pages_without_a_host_share_no_wrapper(spark):
+    pages = spark.createDataFrame([(k, None, f"<p>Shared by all.<p>Own {k}") for k in range(8)], "page_id long, url string, html string")
+    assert {r.text for r in extraction.extract(pages.withColumns({"host": F.lit(1), "hash": F.lit(2), "wrapper": F.lit(3)})).collect()} == {f"Shared by all. Own {k}" for k in range(8)}
+
+
 def test_parser_survives():
-    for html in ("", "<", "<p", "a<b", "<div" * 500, "<div>" * 5000 + "x", "<script>never closed", "<p class='x", "&#x110000;&bad;", "<!-- open", "<a href=\"x>y</a>"):
+    for html in ("", "<", "<p", "a<b", '<a "' * 250_000, '<a "<b>"' * 100_000, "<a" * 500_000, "<div" * 500, "<div>" * 5000 + "x", "<script>never closed", "<p class='x", "&#x110000;&bad;", "<!-- open", "<a href=\"x>y</a>"):
         assert isinstance(dom.parse(html), dom.Element)
         extraction.main_text(html)
     assert extraction.main_text("<div>" * 5000 + "x").endswith("x")
