@@ -145,13 +145,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that with the smallest id; a null id counts as the largest.
+    """``docs`` with one row of each group of near copies, that with the smallest id; a null id counts as the largest.
 
+    Near copies have five-word shingles of a similarity of 0.8 or more (``near_copies``), or are connected by such.
     Rows are told apart by id and text, so that rows of one id, null or not, go by their own texts. Of rows of the smallest id
     that is of the least text hash, and one of rows that repeat both.
     """
+    from lattica.llm.near_copies import near_copies
+
     marked = docs.withColumns({"__lattica_id": F.col(id_col), "__lattica_text": text_key(F.col(text_col))})
-    groups = near_groups(marked, "__lattica_text", text_col).select(F.col("doc_id").alias("__lattica_text"), "component_id").distinct()
+    groups = near_copies(marked.select(F.col("__lattica_text").alias("key"), F.col(text_col).alias("text"))).select(F.col("key").alias("__lattica_text"), F.col("component").alias("component_id"))
     rows = materialize(marked.select("__lattica_id", "__lattica_text").join(materialize(groups, "near-groups"), "__lattica_text"), "near-rows")
     first = F.min(F.struct(F.col("__lattica_id").isNull().alias("last"), F.col("__lattica_id").alias("id"), F.col("__lattica_text").alias("text")))
     best = rows.groupBy("component_id").agg(first.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

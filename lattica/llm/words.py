@@ -9,6 +9,8 @@ from lattica.llm.shared import WORD_BYTE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = WORD_BYTE | WORD_BYTE[_LOWER]
+#: Bytes of words that are anything between ASCII white space.
+UNSPACED = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -21,14 +23,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, starts and ends of all words, and the n + 1 first words of the documents at ``offsets``.
 
-    A word is a run of digits, letters a-z and bytes outside ASCII; documents never share a word.
+    A word is a run of ``word_bytes``: digits, letters a-z and bytes outside ASCII if nothing else is said. Documents never share a word.
     """
     low = _LOWER[data]
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = word_bytes[data]
     turn = np.diff(inside)
     starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     edges = offsets[1:-1]

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import components, decontamination, dom, exact_dedup, extraction, langid, licenses, packing, quality, simhash, warc
+from lattica.llm import components, decontamination, dom, exact_dedup, extraction, langid, licenses, near_copies, packing, quality, simhash, warc
 from lattica.llm import substring_dedup as sub
 from lattica.llm.license_rules import rules
 from lattica.llm.queries import ORACLES, QUERIES
@@ -72,6 +72,44 @@ def test_simhash_hard(spark):
     assert simhash.keep_one(hard(spark)).count() >= len({r.component_id for r in out})
 
 
+def roots_of(names, linked):
+    parent = {x: x for x in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in linked:
+        a, b = sorted((find(x), find(y)))
+        parent[b] = a
+    return {x: find(x) for x in names}
+
+
+@pytest.mark.parametrize("limit", [2, 64])
+def test_near_copies_equal_all_pairs(spark, limit):
+    """Groups of copies with a few words changed, around the threshold: nothing is linked that should not be, and nine in ten pairs are found."""
+    rng, texts = random.Random(9), []
+    for _ in range(25):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 12)):
+            changed = list(words)
+            for _ in range(rng.randint(0, 3)):
+                changed[rng.randrange(len(words))] = f"x{rng.randrange(400)}"
+            texts.append(" ".join(changed).upper())
+    texts = ["", " \n", "one", "One", "one two", *texts]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if alike(sets[i], sets[j])]
+    want = roots_of(range(len(texts)), pairs)
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = {r.key: r.component for r in near_copies.near_copies(rows, group_limit=limit).collect()}
+    assert len(got) == len(texts) and all(want[i] == want[j] for i in got for j in got if got[i] == got[j])
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    assert near_copies.near_copies(rows.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("limit", [1, 64])
 def test_links_equal_all_pairs(spark, limit):
     rng = random.Random(3)
