@@ -3,7 +3,7 @@
 Fingerprints: 64 bits, by majority over the XXH64 hashes of word shingles. Equal fingerprints are one node. For each distinct
 fingerprint a table holds its Hamming distances to ``PIVOTS`` fixed reference fingerprints. By the triangle inequality two
 fingerprints at most ``radius`` bits apart differ by at most ``radius`` in every coordinate, so pairs whose largest coordinate
-difference is more are discarded and the rest are verified on all bits.
+difference is more are discarded and the rest are verified on all bits. The first coordinate keeps most other pairs from being formed.
 
 Pairs come from fingerprints that agree on enough of their bit blocks (radius + 1 blocks or more, of which all but ``radius``
 agree), in groups of at most ``group_limit``. The members of larger groups are linked in another exact way with rows in
@@ -98,23 +98,35 @@ def _blocks(fp: Column, blocks: int, radius: int) -> list[Column]:
     return out
 
 
+def pairs_to_verify(members: DataFrame, radius: int, count: int = PIVOTS) -> DataFrame:
+    """Pairs (a, b) of ``members`` (group, fp) of one group that ``count`` pivots don't discard, each with one row for each group they share.
+
+    The first pivot decides which pairs are formed at all: members are joined by group and by a cell of radius + 1 distances, the one
+    nearer to the pivot listed under its own cell and the next. The other pivots discard what is formed before any bits are compared.
+    """
+    names = [f"p{k}" for k in range(count)]
+    rows = members.withColumns({n: F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("int") for n, p in zip(names, pivots(count), strict=True)})
+    if not names:
+        return rows.alias("x").join(rows.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    cell = F.floor(F.col("p0") / (radius + 1))
+    x, y = rows.withColumn("cell", F.explode(F.array(cell, cell + 1))).alias("x"), rows.withColumn("cell", cell).alias("y")
+    order = (F.col("x.p0") < F.col("y.p0")) | (F.col("x.p0") == F.col("y.p0")) & (F.col("x.fp") < F.col("y.fp"))
+    formed = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.cell") == F.col("y.cell")) & order)
+    far = F.greatest(F.lit(0), *(F.abs(F.col(f"x.{n}") - F.col(f"y.{n}")) for n in names))
+    return formed.filter(far <= radius).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Edges (a, b) that connect all fingerprints of ``distinct`` (fp) at most ``radius`` (0 to 2) bits apart."""
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
     count = distinct.count()
     blocks = radius + (1 if count < 1 << 21 else 2 if count < 1 << 32 else 3)  # so that keys outnumber fingerprints
-    names = [f"p{k}" for k in range(PIVOTS)]
-    keyed = distinct.withColumns({n: F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for n, p in zip(names, pivots(), strict=True)})
-    keyed = materialize(keyed.select("*", F.explode(F.array(*_blocks(F.col("fp"), blocks, radius))).alias("k")).select("fp", *names, "k.table", "k.key"), "pivot-table")
-    sizes = keyed.groupBy("table", "key").count().filter("count > 1")
-    pair = sizes.filter(F.col("count") <= group_limit).drop("count")
-    small = materialize(keyed.join(pair, ["table", "key"]), "pivot-groups")
-    far = F.greatest(*(F.abs(F.col(f"x.{n}") - F.col(f"y.{n}")) for n in names))
-    same = (F.col("x.table") == F.col("y.table")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
-    found = small.alias("x").join(small.alias("y"), same & (far <= radius) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    large = materialize(keyed.join(sizes.filter(F.col("count") > group_limit).drop("count"), ["table", "key"], "left_semi").select("fp").distinct(), "large-groups")
+    keyed = materialize(distinct.select("fp", F.explode(F.array(*_blocks(F.col("fp"), blocks, radius))).alias("group")), "pivot-table")
+    sizes = keyed.groupBy("group").count().filter("count > 1")
+    small = materialize(keyed.join(sizes.filter(F.col("count") <= group_limit).select("group"), "group"), "pivot-groups")
+    found = pairs_to_verify(small, radius).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    large = materialize(keyed.join(sizes.filter(F.col("count") > group_limit).select("group"), "group", "left_semi").select("fp").distinct(), "large-groups")
     around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)))
     entries = large.select("fp", F.explode(around).alias("entry"))
     if radius == 2:

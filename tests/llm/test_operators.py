@@ -72,6 +72,21 @@ def test_simhash_hard(spark):
     assert simhash.keep_one(hard(spark)).count() >= len({r.component_id for r in out})
 
 
+def test_pivots_discard_pairs(spark):
+    """Fewer pairs are verified the more pivots there are, and none of those within the radius is lost."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (0, 1, 2, 3)})
+    near = {(x, y) for x in prints for y in prints if x < y and bin(x ^ y).count("1") <= 2}
+    members = spark.createDataFrame([(1, x - (1 << 64) if x >> 63 else x) for x in prints], "group int, fp long")
+    counts = []
+    for n in (0, 1, 4, 16):
+        got = {tuple(sorted((r.a & (1 << 64) - 1, r.b & (1 << 64) - 1))) for r in simhash.pairs_to_verify(members, 2, n).collect()}
+        assert near <= got
+        counts.append(len(got))
+    assert counts == sorted(counts, reverse=True) and counts[0] == len(prints) * (len(prints) - 1) // 2 and counts[3] * 20 < counts[0]
+
+
 def roots_of(names, linked):
     parent = {x: x for x in names}
 
