@@ -3,7 +3,8 @@
 A page becomes three records: a response (or, where an earlier page has the same payload, a revisit without payload), the request
 and a metadata record, the latter two naming the first in WARC-Concurrent-To. Files are written by Spark's text writer with the
 record separator as line separator, so any file system that Spark knows will do. Reading frames records by Content-Length, from
-plain or gzip files of one or many members, and keeps no more than a record and a block of input in memory.
+plain or gzip files of one or many members; a file's compressed content is one value, beyond that no more than a record and a block is
+held. So files are bounded by bytes: pages are written by size class, and larger pages go fewer to a file.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import materialize, new_path, release, table
+from lattica.llm.shared import materialize, new_path, table
 
 SAME_FROM = 100
-RECORDS_PER_FILE = 6000
+#: Largest payload of a size class, and records of it in a file: 500 MB of payloads at most. The rest has a file for each capture.
+CLASSES = [(256 << 10, 6000), (8 << 20, 180)]
 #: Concurrent records that one nested row holds; a capture with more has further rows, numbered by ``part``.
 RECORDS_PER_ROW = 1000
 
@@ -78,8 +80,13 @@ def write_pages(pages: DataFrame, path: str) -> None:
     request = _record("request", _uuid(F.lit("request"), F.col("capture")), asked, "application/http; msgtype=request", *common, concurrent)
     fields = F.concat(_header("payloadBytes", F.col("n_bytes")), _header("payloadDigest", F.col("digest")))
     metadata = _record("metadata", _uuid(F.lit("metadata"), F.col("capture")), fields, "application/warc-fields", *common, concurrent)
-    records = rows.select(F.explode(F.array(main, request, metadata)).alias("record"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    largest, least = rows.agg(F.max("n_bytes")).first()[0] or 0, -1
+    for k, (limit, count) in enumerate([*CLASSES, (None, 3)]):
+        if k == 0 or largest > least:
+            of_size = rows.filter((F.col("n_bytes") > least) & (F.col("n_bytes") <= limit) if limit else F.col("n_bytes") > least)
+            records = of_size.select(F.explode(F.array(main, request, metadata)).alias("record"))
+            records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", count).text(f"{path}/class={k}")
+        least = limit
 
 
 def _inflated(raw: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
@@ -185,7 +192,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 if rows:
                     yield _batch(rows, arrow)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -231,8 +238,8 @@ def archived(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_pages(pages, path)
-    release(spark)
-    rows = assemble(read_records(spark, path, with_payload=False)).filter("part = 0 AND record_type IN ('response', 'revisit')")
+    # Assembly goes through the records three times; parsed, and without payloads, they are a small part of the archive.
+    rows = assemble(materialize(read_records(spark, path, with_payload=False), "warc-records")).filter("part = 0 AND record_type IN ('response', 'revisit')")
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "target_uri", F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
 
 
