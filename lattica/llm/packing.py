@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import materialize, release, table
+from lattica.llm.shared import materialize, table
 
 CAPACITY = 2048
-#: Distinct white-space-free strings whose ids a task remembers.
-REMEMBERED = 400_000
+#: Bytes of the strings without white space, and of their ids, that a Python worker remembers.
+REMEMBERED_BYTES = 90 << 20
 
 
 def default_tokenizer() -> str:
@@ -43,7 +44,7 @@ class _Ids(dict):
 
 
 class Encoder:
-    """Token ids as little-endian bytes. Texts are cut at plain white space, which no token of this tokenizer spans, and the ids of the strings in between are remembered, up to ``REMEMBERED`` of them."""
+    """Token ids as little-endian bytes. Texts are cut at plain white space, which no token of this tokenizer spans, and the ids of the strings in between are remembered, up to ``REMEMBERED_BYTES`` of both."""
 
     #: Stands between strings that are encoded together; strings with this character go by themselves.
     BETWEEN = "\x01"
@@ -52,7 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
-        self.tokenizer, self.known = Tokenizer.from_file(path), _Ids({"": b""})
+        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), _Ids({"": b""}), 0
         (self.between,) = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
 
     def _new(self, words: list[str], together: int = 200) -> Iterator[tuple[str, bytes]]:
@@ -72,7 +73,13 @@ class Encoder:
         known.more = {}
         missing = set().union(*split).difference(known)
         if missing:
-            (known.more if len(known) > REMEMBERED else known).update(self._new(list(missing)))
+            found = dict(self._new(list(missing)))
+            size = sum(map(sys.getsizeof, found)) + sum(map(sys.getsizeof, found.values())) + 100 * len(found)
+            if self.held + size <= REMEMBERED_BYTES:
+                self.held += size
+                known.update(found)
+            else:
+                known.more = found
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -200,7 +207,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             more = [pa.array(first[at] + inside // each[at]), pa.array(offset[at] + inside % each[at] * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), *more], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    release(spark)
     kind = pieces.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
