@@ -26,8 +26,9 @@ TEXTS_PER_LANGUAGE = 300
 WINDOWS_PER_TEXT = 8
 ROUNDS = 400
 ROWS_AT_ONCE = 2048
-#: Documents whose best label has a lower mean probability than this are rejected by ``identified``.
-REJECT_BELOW = 0.3
+#: ``identified`` rejects documents whose best label's mean probability is no more than this part of the way from chance (one in the number
+#: of labels) to certainty.
+REJECT_BELOW = 0.1
 
 
 def _gate(x: np.ndarray) -> np.ndarray:
@@ -215,12 +216,13 @@ def predict(docs: DataFrame, tagger: ByteTagger, id_col: str = "doc_id", text_co
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", reject_below: float = REJECT_BELOW) -> DataFrame:
-    """``docs`` without rows in no language (``und``) or below ``reject_below``. Each row goes by its own text, whatever other rows its id has."""
+    """``docs`` without rows in no language (``und``) or of a score no better than ``reject_below`` of the way from chance to certainty. Each row goes by its own text, whatever other rows its id has."""
     from lattica.llm.shared import materialize
 
-    keyed = docs.withColumn("__lattica_text", text_key(F.col(text_col)))
-    found = predict(keyed, train(docs, id_col, text_col, label_col), "__lattica_text", text_col)
-    away = found.filter((F.col("lang_pred") == "und") | (F.col("score") < reject_below)).select(F.col("doc_id").alias("__lattica_text")).distinct()
+    keyed, tagger = docs.withColumn("__lattica_text", text_key(F.col(text_col))), train(docs, id_col, text_col, label_col)
+    chance = 1 / max(1, len(tagger.labels))
+    found = predict(keyed, tagger, "__lattica_text", text_col)
+    away = found.filter((F.col("lang_pred") == "und") | (F.col("score") < chance + reject_below * (1 - chance))).select(F.col("doc_id").alias("__lattica_text")).distinct()
     return keyed.join(materialize(away, "unidentified"), "__lattica_text", "left_anti").select(docs.columns)
 
 
