@@ -18,8 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours on its smallest neighbour, then every node on the smallest of its smaller
     ones, and is written to the shared folder. It ends when a round changes nothing; rounds grow as the square of the logarithm
-    of the number of nodes at most. Minima are aggregated before they are shuffled, so a node with very many neighbours is no
-    single task's work.
+    of the number of nodes at most. Minima are aggregated before they are shuffled; the joins by node have one row a node on one side,
+    so that adaptive execution can split the other where a node has very many neighbours.
     """
     now = materialize(_small_rooted(edges), "edges")
     while True:

@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming, with DataFrame functions only.
 
-Every text is cut into blocks of ``block_bytes``. Equal blocks get one integer name: their place in the sorted order of the
-distinct blocks. Then adjacent names are paired and the distinct pairs are named the same way, level after level, until one
+Every text is cut into blocks of ``block_bytes``. Equal blocks get one integer name: their place in the order of the distinct blocks,
+sorted by a 128-bit hash of theirs, so that ranges of the hash are numbered apart. Then adjacent names are paired and the distinct pairs are named the same way, level after level, until one
 name is left of each document. Documents with the same number of blocks and the same last name are equal, and no others.
 
 Blocks travel once, as the key of a pre-aggregated grouping by a 128-bit hash. That grouping also compares the contents: where
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import materialize, release, table
+from lattica.llm.shared import materialize, table
 
 BLOCK_BYTES = 4096
 #: Names are numbered within 2**16 ranges of the hash, so that no task sorts all of them.
@@ -48,7 +48,6 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise RuntimeError("no pair of hash seeds separates the blocks")
     keys = F.transform(cut, lambda block: _key(block, seed))
     rows = materialize(whole.select(F.monotonically_increasing_id().alias("row"), "id", F.sha2("bytes", 256).alias("text_sha256"), "n_bytes", n_blocks.alias("n_blocks"), keys.alias("keys")), "block-rows")
-    release(spark)
     names = _named(found, ["a", "b"], F.col("a"))
     level = rows.select("row", "n_blocks", F.posexplode("keys").alias("place", "key")).select("row", "n_blocks", "place", "key.a", "key.b").join(names, ["a", "b"])
     level = materialize(level.select("row", "n_blocks", "place", "name"), "block-names")

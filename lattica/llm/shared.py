@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,37 +30,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what is written inside as soon as it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on one executor's disk."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, column: str, least: int) -> DataFrame:
-    """``df`` as a table of the warehouse in at least ``least`` buckets by ``column``: joins on it shuffle only their other side."""
+    """``df`` as a table in the shared folder in at least ``least`` buckets by ``column``: joins on it shuffle only their other side."""
     spark = df.sparkSession
     count = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table_name = f"lattica_{name}_{uuid.uuid4().hex}"
-    df.repartition(count, column).write.option("compression", "uncompressed").bucketBy(count, column).saveAsTable(table_name)
+    with _tidy(spark):
+        df.repartition(count, column).write.option("compression", "uncompressed").option("path", new_path(spark, name)).bucketBy(count, column).saveAsTable(table_name)
     return spark.table(table_name)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now rather than at the driver's next collection.
-
-    Twice, as the driver's Python lets go of its references a moment after its own collection.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,19 +83,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sampled_texts(docs: DataFrame, keys: DataFrame, group: str, per_group: int) -> DataFrame:
-    """``per_group`` texts of each value of ``group`` in ``keys`` (doc_id, group), chosen by a hash of the id.
+    """doc_id, text and ``group``: at most ``per_group`` texts of each value of ``group`` in ``keys`` (doc_id, group), chosen by a hash of the id.
 
-    ``per_group`` times the number of groups bounds what is broadcast and what reaches the driver.
+    An id counts once, with its least group and the least of its texts. So ``per_group`` times the number of groups bounds what is
+    broadcast and what reaches the driver. A group of fewer ids gives all of them.
     """
     hashed = F.xxhash64("doc_id")
-    keys = keys.select("doc_id", group)
+    keys = keys.groupBy("doc_id").agg(F.min(group).alias(group))
     counts = keys.groupBy(F.col(group).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
-    # About twice as many as are wanted come through, evenly over the hashes, so that ranking them is no large task.
+    # More than twice as many as are wanted come through, evenly over the hashes, so that ranking them is no large task.
     # The counts are a row for each value, far fewer than the sample that is broadcast below.
-    few = keys.join(F.broadcast(counts), F.col(group) == F.col("__of")).filter(F.pmod(hashed, F.lit(1_000_000)) < 1_000_000 * 2.0 * per_group / F.col("__n"))
+    few = keys.join(F.broadcast(counts), F.col(group) == F.col("__of")).filter(F.pmod(hashed, F.lit(1_000_000)) < 1_000_000 * (2.0 * per_group + 20) / F.col("__n"))
     by_hash = Window.partitionBy(group).orderBy(hashed, "doc_id")
-    chosen = few.select("doc_id", group).withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_group)
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    chosen = few.select("doc_id", group).withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_group).drop("rank")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", group).agg(F.min("text").alias("text"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

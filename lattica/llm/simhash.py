@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.shared import LOWER, materialize, release, table, text_key
+from lattica.llm.shared import LOWER, materialize, table, text_key
 
 SHINGLE = 3
 RADIUS = 2
@@ -145,14 +145,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    release(docs.sparkSession)
     roots = components(links(nodes.select("fp"), radius, group_limit))
     linked = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "low")
     least = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     of = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
     of = of.unionByName(nodes.join(roots, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("low").alias("component_id")))
     of = materialize(of, "components")
-    release(docs.sparkSession)
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -12,8 +12,9 @@ bytes. Every window starts in exactly one phrase, and where it occurs again it i
    least id of each run of equal windows is compared with that of every phrase of the parse.
 4. Each batch gets a bit for each window of its phrases, marks the bytes, and gives a row per document.
 
-Hashes of very many batches (a line that is everywhere) are dealt out window by window, by the windows' own bytes, so that no share
-grows with them; equal windows and phrases of one batch are one entry.
+Hashes of very many batches (a line that is everywhere) are dealt out window by window, by the windows' own bytes, so that their text
+spreads over the shares; equal windows and phrases of one batch are one entry. A share still gets a row of each batch that has one of its
+hashes, so the share of such a line grows by a few bytes a batch.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import bucketed, chunks, materialize, release, table, utf8
+from lattica.llm.shared import bucketed, chunks, materialize, table, utf8
 from lattica.llm.words import mixed, sliding_min
 
 LENGTH = 50
@@ -325,7 +326,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
     base = bucketed(batches_of(docs, id_col, text_col), "batches", "batch", total // BUCKET_BYTES)
-    release(spark)
     shares = max(LEAST_SHARES, total // SHARE_BYTES)
     kind = "batch long, share long, info binary"
 
@@ -336,9 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     copies = materialize(digests_by_share(base, shares).groupBy("share").applyInArrow(_smaller_elsewhere, kind), "copies")
     shared = materialize(hashes_by_share(told(copies), shares).groupBy("share").applyInArrow(_shared_hashes, kind), "shared-hashes")
-    release(spark)
     found = materialize(phrases_by_share(told(copies.unionByName(shared)), shares).groupBy("share").applyInArrow(_verdicts, kind), "verdicts")
-    release(spark)
     last = told(copies.unionByName(shared).unionByName(found))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
