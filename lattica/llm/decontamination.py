@@ -5,9 +5,9 @@ share over 10 words or more holds one such window whole, so both keep the same f
 extended to both sides word by word, and what is shared over 10 words or more is hit. Items under 10 words are one window: their
 whole hash is looked up at every word and compared.
 
-The fingerprints of the items travel to the documents, which are never shuffled. They are broadcast in blocks of at most
-``block_windows`` windows; with more, the documents are read once for each block, and what each row has been hit by so far goes
-along in the row through a written table.
+While the items are at most ``block_windows`` windows, their fingerprints are broadcast to the documents, which are never shuffled.
+With more, fingerprints of documents and items are joined; only texts that have one in common are looked at further, in one pass for
+each block of items, and what each row has been hit by so far goes along in the row through a written table.
 """
 
 from __future__ import annotations
@@ -77,6 +77,9 @@ class ItemIndex:
         self.sorted = np.sort(np.array(list(places), np.uint64))
         self.sorted_short = {n: np.sort(np.array(list(x), np.uint64)) for n, x in self.short.items()}
 
+    def fingerprints(self) -> set[int]:
+        return {*self.places, *(h for x in self.short.values() for h in x)}
+
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int]]]]:
         """Number of words of each document, and for those with hits a list of (first word, end, item)."""
         low, starts, ends, first = words_of(data, offsets)
@@ -152,6 +155,43 @@ def _pass(docs: DataFrame, index: Broadcast, id_field: str, last: bool, carried:
     return docs.mapInArrow(run, f"doc_id {id_field}, {out}")
 
 
+def document_fingerprints(texts: DataFrame, lengths: list[int], window: int) -> DataFrame:
+    """key and print of ``texts`` (key, text): winnowed 5-grams, and all runs of as many words as the short items have (``lengths``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for a, b in chunks(offsets):
+                low, starts, ends, first = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                hashes = word_hashes(low, starts, ends)
+                grams = gram_hashes(hashes, GRAM)
+                at = _winnowed(grams, first[:-1], first[1:], window)
+                found = [(at, grams[at])]
+                for n in lengths:
+                    grams = gram_hashes(hashes, n)
+                    at = np.arange(len(grams))
+                    at = at[at + n <= first[np.searchsorted(first, at, "right")]]
+                    found.append((at, grams[at]))
+                at, prints = (np.concatenate(x) for x in zip(*found, strict=True))
+                row = a + np.searchsorted(first, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(prints.view(np.int64))], names=["key", "print"])
+
+    return texts.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, print long").distinct()
+
+
+def item_fingerprints(items: DataFrame, window: int) -> DataFrame:
+    """print of ``items`` (item_id, text): what documents that hold a window of them have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = ItemIndex(list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True)), window).fingerprints()
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(sorted(found), np.uint64).view(np.int64))], names=["print"])
+
+    return items.mapInArrow(run, "print long").distinct()
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of hit words) and items.
 
@@ -167,13 +207,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     blocks = max(1, -(-total // (block_windows * 6)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def index_of(part: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(pickle.dumps(ItemIndex([(r[0], r[1]) for r in part.select("item_id", "text").toLocalIterator()], window)))
+
+    if blocks == 1:
+        return _pass(rows, index_of(sized), kind, True, False)
+    words = F.size(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"), F.lit(0)))
+    lengths = sorted(r[0] for r in sized.select(words.alias("n")).filter((F.col("n") > 0) & (F.col("n") < window)).distinct().collect())  # under ``window`` of them
+    keyed = rows.withColumn("key", text_key(F.col("text")))
+    prints = document_fingerprints(keyed.select("key", "text"), lengths, window)
+    suspects = materialize(prints.join(item_fingerprints(item, window), "print", "left_semi").select("key").distinct(), "decontamination-suspects")
+    clean = _pass(keyed.join(suspects, "key", "left_anti").drop("key"), index_of(sized.limit(0)), kind, True, False)
+    rows = keyed.join(suspects, "key", "left_semi").drop("key")
     for k in range(blocks):
-        part = sized if blocks == 1 else sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(pickle.dumps(ItemIndex([(r[0], r[1]) for r in part.select("item_id", "text").toLocalIterator()], window)))
-        rows = _pass(rows, index, kind, k == blocks - 1, k > 0)
+        rows = _pass(rows, index_of(sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)), kind, k == blocks - 1, k > 0)
         if k < blocks - 1:
             rows = materialize(rows, "decontamination")
-    return rows
+    return clean.unionByName(rows)
 
 
 def clean_of(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
