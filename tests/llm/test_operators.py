@@ -180,15 +180,34 @@ def test_decontamination_empty(spark):
     assert decontamination.decontaminate(hard(spark).limit(0), none).count() == 0
 
 
-def test_packing_is_best_fit_decreasing():
-    rng = random.Random(6)
-    lengths = [rng.randint(1, 60) for _ in range(400)]
+def brute_bins(lengths, capacity):
+    """Best-fit decreasing piece by piece; the rooms that are left."""
     rooms = []
     for n in sorted(lengths, reverse=True):
-        fit = min((r, k) for k, r in enumerate([*rooms, 101]) if r >= n)[1]
+        fit = min((r, k) for k, r in enumerate([*rooms, capacity + 1]) if r >= n)[1]
         if fit == len(rooms):
-            rooms.append(100)
+            rooms.append(capacity)
         rooms[fit] -= n
+    return rooms
+
+
+def test_packing_needs_as_many_bins_as_piece_by_piece():
+    rng = random.Random(60)
+    cases = [({33: 9, 5: 9, 50: 8, 8: 11}, 50)]
+    cases += [({rng.randint(1, c): rng.randint(1, 12) for _ in range(rng.randint(1, 9))}, c) for c in (rng.choice([10, 20, 37, 50, 100]) for _ in range(1500))]
+    for histogram, capacity in cases:
+        pieces = [n for n, count in histogram.items() for _ in range(count)]
+        plan, rooms = packing.best_fit_plan(histogram, capacity), {}
+        for (n, rank, first, _, each), end in zip(plan, [*plan[1:], None], strict=True):
+            for k in range((end[1] if end and end[0] == n else histogram[n]) - rank):
+                rooms[first + k // each] = rooms.get(first + k // each, capacity) - n
+        assert sorted(rooms.values()) == sorted(brute_bins(pieces, capacity)), (histogram, capacity)
+
+
+def test_packing_is_best_fit_decreasing():
+    rng = random.Random(6)
+    lengths = [rng.randint(1, 60) for _ in range(400)]
+    rooms = brute_bins(lengths, 100)
     histogram = {n: lengths.count(n) for n in set(lengths)}
     bins = {}
     for (n, rank, first, offset, each), end in zip(plan := packing.best_fit_plan(histogram, 100), [*plan[1:], None], strict=True):
@@ -313,6 +332,46 @@ def test_gradients_equal_differences():
         assert abs(grads[name][at] - (losses[0] - losses[1]) / 2e-2) < 1e-4
 
 
+def test_probabilities_equal_a_plain_forward_pass():
+    """The network byte by byte, from its equations, over whole texts of several windows."""
+    tagger = langid.ByteTagger(["a", "b", "c"])
+    tagger.start(3)
+    w = {k: v.astype(float) for k, v in tagger.weights.items()}
+    gate = lambda x: np.clip(0.25 * x + 0.5, 0, 1)
+
+    def states(window, d):
+        h, out, n = np.zeros(langid.HIDDEN), [], langid.HIDDEN
+        for byte in window:
+            x, s = w[f"inputs_{d}"][byte], h @ w[f"states_{d}"]
+            z, r = gate(x[:n] + s[:n]), gate(x[n : 2 * n] + s[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * s[2 * n :])
+            out.append(h)
+        return out
+
+    texts = ["Short.".encode(), ("déjà vu " * 20).encode(), b"x" * 64, b""]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = tagger.document_probabilities(data, offsets)
+    for row, text in zip(got, texts, strict=True):
+        each = []
+        for at in range(0, len(text), langid.STEPS):
+            window = text[at : at + langid.STEPS]
+            padded = window + bytes(langid.STEPS - len(window))  # the backward layer reads the padding first
+            f, b = states(padded, "f"), states(padded[::-1], "b")[::-1]
+            for k in range(len(window)):
+                y = np.exp(np.concatenate([f[k], b[k]]) @ w["out"] + w["bias"])
+                each.append(y / y.sum())
+        assert np.allclose(row, np.mean(each, axis=0) if each else 0, atol=1e-4)
+
+
+def test_samples_count_an_id_once(spark):
+    from lattica.llm.shared import sampled_texts
+
+    rows = spark.createDataFrame([(1, f"t{k}") for k in range(300)] + [(2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    keys = spark.createDataFrame([(1, k % 2) for k in range(300)] + [(2, 0), (3, 1)], "doc_id long, label int")
+    assert sorted(tuple(r) for r in sampled_texts(rows, keys, "label", 200).collect()) == [(1, 0, "t0"), (2, 0, "b"), (3, 1, "c")]
+    assert sampled_texts(rows, keys, "label", 1).count() == 2
+
+
 def test_language_hard(spark):
     out = {r.doc_id: r for r in langid.predict(hard(spark), langid.train(hard(spark))).collect() if r.doc_id is not None}
     assert all(out[i].lang_pred == "und" for i in (1, 2, 5, 13)) and out[6].lang_pred == "en"
@@ -326,6 +385,22 @@ def test_quality_separates_held_out_rows(spark):
     assert (out.predicted == out.quality).mean() > 0.9 and out.score.between(0, 1).all()
 
 
+def test_scores_follow_from_compressed_sizes():
+    """The score from its equation, with the sizes of every piece taken anew."""
+    import zstandard
+
+    model = quality.CompressionClassifier(b"good words here " * 9, b"bad noise there " * 9, 30.0, 0.4, -0.2)
+    texts = [b"", b"good words here again", b"bad noise there " * 200, b"good words here " * 200]
+    size = lambda raw, p: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(p)) - 6
+    want = []
+    for t in texts:
+        a, b = (sum(size(raw, t[i : i + quality.PIECE_BYTES]) for i in range(0, len(t), quality.PIECE_BYTES)) for raw in (model.good, model.bad))
+        weight = (a + b) / (a + b + quality.LITTLE)
+        want.append(1 / (1 + np.exp(-((model.slope * (b - a) / max(1, a + b) + model.base) * weight + model.usual * (1 - weight)))))
+    got = model.score(texts)
+    assert np.allclose(got, want, atol=1e-3) and got[3] > got[2]
+
+
 def test_quality_hard(spark):
     labels = hard(spark).select("doc_id", "quality")
     assert quality.predict(hard(spark), quality.train(hard(spark), labels)).count() == len(HARD)
