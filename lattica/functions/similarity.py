@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -68,3 +69,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def composite(a: Column, b: Column, key: Callable[[Column], Column], shared_stem: Column | None = None, stem_worth: float = 0.84) -> Column:
+    """1 for equal, 0 for an empty side, else the best of the Indel ratios of the words and of their keys, and ``stem_worth`` where they share a stem."""
+    parts = [indel_ratio(a, b), indel_ratio(key(a), key(b))]
+    if shared_stem is not None:
+        parts.append(F.when(shared_stem, F.lit(stem_worth)).otherwise(F.lit(0.0)))
+    empty = (F.char_length(a) == 0) | (F.char_length(b) == 0)
+    return F.when(empty, F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(F.greatest(*parts))

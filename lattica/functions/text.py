@@ -35,6 +35,28 @@ def normalised(text: Column, profile: str = "joined") -> Column:
     return F.regexp_replace(folded, drop, "") if profile == "joined" else F.trim(F.regexp_replace(folded, drop, " "))
 
 
+def displayed(text: Column) -> Column:
+    """For display: direction marks go, white space becomes one space, and none stands before punctuation or at the ends."""
+    plain = F.regexp_replace(text, r"[\x{200E}\x{200F}]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r" ([.,;:!?\x{060C}\x{061B}\x{061F}])", "$1"))
+
+
+def name_key(text: Column) -> Column:
+    """Words of a name without case, marks and separators, joined by one space."""
+    return F.array_join(F.regexp_extract_all(normalised(text, "spaced"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+
+
+def runs(text: Column, latin: bool = True) -> Column:
+    """Runs of digits, of Arabic script and, if wanted, of Latin letters, as they stand; an empty array for null."""
+    kinds = r"[0-9\x{06F0}-\x{06F9}]+|[\x{0600}-\x{06EF}\x{06FA}-\x{06FF}]+" + ("|[A-Za-z]+" if latin else "")
+    return F.coalesce(F.regexp_extract_all(text, F.lit(kinds), F.lit(0)), F.array().cast("array<string>"))
+
+
+def last_joined(toks: Column, most: int) -> Column:
+    """The last words of an array, ``most`` at most, joined by spaces."""
+    return F.array_join(F.slice(toks, F.greatest(F.lit(1), F.size(toks) - most + 1), most), " ")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters; an empty array for null."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), F.array().cast("array<string>"))
@@ -48,7 +70,7 @@ def phonetic_key(token: Column) -> Column:
 def latin_key(token: Column) -> Column:
     """The phonetic key of Latin script: vowels after the first letter go, voiced and unvoiced letters merge."""
     merged = F.translate(F.lower(token), "bvdgjzkqy", "pftccscci")
-    return F.concat(F.substring(merged, 1, 1), F.regexp_replace(F.substring(merged, 2, 1000), "[aeiou]", ""))
+    return F.concat(F.substring(merged, 1, 1), F.regexp_replace(F.substring(merged, F.lit(2), F.char_length(merged)), "[aeiou]", ""))
 
 
 def skeleton(token: Column) -> Column:
@@ -73,6 +95,36 @@ _TENS = "بیست سی چهل پنجاه شصت هفتاد هشتاد نود".sp
 _HUNDREDS = "صد دویست سیصد چهارصد پانصد ششصد هفتصد هشتصد نهصد".split()
 
 
+def number_words_column(value: Column) -> Column:
+    """``number_words`` of a whole-number column, from lists of constants: no Python in the plan. Null outside of 0 to 9999."""
+    ones, tens, hundreds = (F.array(*map(F.lit, x)) for x in (_ONES, _TENS, _HUNDREDS))
+    at = lambda words, k: F.get(words, k.cast("int"))
+    thousand, rest = F.floor(value / 1000), F.pmod(value, F.lit(1000))
+    hundred, rest = F.floor(rest / 100), F.pmod(rest, F.lit(100))
+    ten, one = F.floor(rest / 10), F.pmod(rest, F.lit(10))
+    parts = F.array(
+        F.when(thousand == 1, "هزار").when(thousand > 1, F.concat(at(ones, thousand), F.lit(" هزار"))),
+        F.when(hundred > 0, at(hundreds, hundred - 1)),
+        F.when(rest >= 20, at(tens, ten - 2)),
+        F.when((rest > 0) & (rest < 20), at(ones, rest)).when((rest >= 20) & (one > 0), at(ones, one)).when(value == 0, at(ones, value)),
+    )
+    return F.when(value.between(0, 9999), F.array_join(F.array_compact(parts), " و "))
+
+
+def protected(text: Column, pattern: str, mark: str = "NAME") -> Column:
+    """A struct of ``text``, in which what the pattern matches is a numbered mark, and ``names``, what stood there, in order."""
+    names = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
+    between = F.split(text, f"(?:{pattern})", -1)
+    joined = F.array_join(F.transform(between, lambda part, k: F.when(k == 0, part).otherwise(F.concat(F.lit(f"[{mark} "), k.cast("string"), F.lit("]"), part))), "")
+    return F.struct(joined.alias("text"), names.alias("names"))
+
+
+def filled(text: Column, values: Column, mark: str = "NAME") -> Column:
+    """The inverse of ``protected``: each numbered mark replaced by its value; marks beyond the values stay."""
+    numbered = F.transform(values, lambda v, k: F.struct(k.alias("k"), v.alias("v")))
+    return F.aggregate(numbered, text, lambda acc, x: F.replace(acc, F.concat(F.lit(f"[{mark} "), (x["k"] + 1).cast("string"), F.lit("]")), x["v"]))
+
+
 def number_words(value: int) -> str | None:
     """0 to 9999 in Persian words; null outside."""
     if not 0 <= value <= 9999:

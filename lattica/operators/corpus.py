@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import tokens
+from lattica.operators.shared import stored
 
 # Continuations kept for each history, and constants of the interpolation.
 CONTINUATIONS, TRIGRAM_WEIGHT, BIGRAM_WEIGHT = 24, 6.0, 18.0
@@ -19,12 +21,16 @@ def union_sources(parts: list[tuple[DataFrame, str, int]]) -> DataFrame:
     return reduce(DataFrame.unionByName, (df.select("domain", F.lit(name).alias("origin"), "text", F.lit(weight).alias("weight")) for df, name, weight in parts))
 
 
-def first_wins(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key with the number of rows it stands for; null keys are a key."""
+def first_wins(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
+    """The first row of each key, in the order of columns, with the number of rows it stands for; null keys are a key.
+
+    The least row is a partial aggregate, so that a key of very many rows is no single task's work. Of rows that tie in all of
+    ``order`` the least by the other columns stays.
+    """
     named = {f"__k{i}": k for i, k in enumerate(keys)}
-    w = Window.partitionBy(*named)
-    rows = df.withColumns(named).withColumns({"n_group": F.count(F.lit(1)).over(w), "__rank": F.row_number().over(w.orderBy(*order))})
-    return rows.filter("__rank = 1").drop(*named, "__rank")
+    columns = [*order, *(c for c in df.columns if c not in order)]
+    best = df.withColumns(named).groupBy(*named).agg(F.min(F.struct(*columns)).alias("__best"), F.count(F.lit(1)).alias("n_group"))
+    return best.select(*(F.col(f"__best.{c}").alias(c) for c in df.columns), "n_group")
 
 
 def sentences(df: DataFrame, text: str = "text") -> DataFrame:
@@ -36,10 +42,26 @@ def sentences(df: DataFrame, text: str = "text") -> DataFrame:
 def distinct_tokens(df: DataFrame, domain: str, order: str, text: str = "text") -> DataFrame:
     """domain, toks and the first ``order`` of rows with the same tokens in a domain, without token-less rows.
 
-    Grouped by the tokens themselves with the least order as partial aggregate, so that very common rows do not gather.
+    Grouped by 128 bits of the tokens with the least order as partial aggregate, so that very common rows do not gather and no keys of
+    whole texts are compared.
     """
     rows = df.select(F.col(domain).alias("domain"), tokens(F.col(text)).alias("toks"), F.col(order).alias("first")).filter(F.size("toks") > 0)
-    return rows.groupBy("domain", "toks").agg(F.min("first").alias("first"))
+    keyed = rows.withColumn("__key", F.md5(F.array_join("toks", " ").cast("binary")))
+    return keyed.groupBy("domain", "__key").agg(F.min("first").alias("first"), F.first("toks").alias("toks")).select("domain", "toks", "first")
+
+
+def ngram_table(rows: DataFrame, orders: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """domain, n, gram and n_count of all ``orders``, from domain and toks: read and counted once, and stored."""
+    at = lambda n: F.when(F.size("toks") >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("toks") - n)), lambda i: F.array_join(F.slice(F.col("toks"), i + 1, n), " ")))
+    each = F.array(*(F.struct(F.lit(n).alias("n"), at(n).alias("grams")) for n in orders))
+    grams = rows.select("domain", F.inline(each)).select("domain", "n", F.explode("grams").alias("gram"))
+    return stored(grams.groupBy("domain", "n", "gram").agg(F.count(F.lit(1)).alias("n_count")))
+
+
+def of_order(table: DataFrame, n: int) -> DataFrame:
+    """domain, w1 .. wn and n_count of the n-grams of one order."""
+    words = F.split("gram", " ")
+    return table.filter(F.col("n") == n).select("domain", *(F.get(words, F.lit(k)).alias(f"w{k + 1}") for k in range(n)), "n_count")
 
 
 def ngrams(rows: DataFrame, n: int, weight: Column | None = None) -> DataFrame:
@@ -55,10 +77,15 @@ def windows(rows: DataFrame, n: int) -> DataFrame:
     return ngrams(rows, n).select("domain", *(F.element_at(F.split("gram", " "), k + 1).alias(f"w{k + 1}") for k in range(n)), "n_count")
 
 
-def continuations(bigrams: DataFrame, keep: int = CONTINUATIONS) -> DataFrame:
-    """Of each history the ``keep`` most frequent next words (ties by word), their rank and the total of the history."""
-    w = Window.partitionBy("domain", "w1")
-    ranked = bigrams.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n_count"), "w2"))).filter(F.col("rank") <= keep)
+def continuations(bigrams: DataFrame, keep: int = CONTINUATIONS, shares: int = 64) -> DataFrame:
+    """Of each history the ``keep`` most frequent next words (ties by word), their rank and the total of the history.
+
+    A history is ranked in ``shares`` shares first, of which the best of each go on, so that the most frequent one is no single task's work.
+    """
+    order = (F.desc("n_count"), "w2")
+    part = Window.partitionBy("domain", "w1", F.pmod(F.xxhash64("w2"), F.lit(shares))).orderBy(*order)
+    few = bigrams.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= keep)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("domain", "w1").orderBy(*order))).filter(F.col("rank") <= keep)
     totals = bigrams.groupBy("domain", "w1").agg(F.sum("n_count").alias("total"))
     return ranked.join(totals, ["domain", "w1"])
 

@@ -85,6 +85,13 @@ def repair(df: DataFrame, key: str = "id") -> DataFrame:
     return df.select(key, "claim", "evidence").mapInPandas(run, f"{key} {kind}, kept_text string, rounds int, supported boolean, confidence string")
 
 
+def without_adjacent(toks: Column) -> Column:
+    """The words of an array without those that are the same as the one before."""
+    at = F.sequence(F.lit(1), F.size(toks))
+    kept = F.filter(at, lambda i: (i == 1) | (F.element_at(toks, F.greatest(F.lit(1), i - 1)) != F.element_at(toks, i)))
+    return F.when(F.size(toks) > 0, F.transform(kept, lambda i: F.element_at(toks, i))).otherwise(toks)
+
+
 def collapse_repeats(words: list[str], widest: int = 6) -> list[str]:
     """One of words that stand twice or more in a row, and one of phrases of up to ``widest`` words that stand three times or more; longest first."""
     out = list(words)
@@ -98,3 +105,16 @@ def collapse_repeats(words: list[str], widest: int = 6) -> list[str]:
                 del out[i + width : i + n * width]
             i += 1
     return out
+
+
+def collapsed(rows: DataFrame, keys: list[str], widest: int = 6) -> DataFrame:
+    """(keys, kept, removed) of (keys, toks): what ``collapse_repeats`` leaves, as text, and how many words it takes out."""
+    from pyspark.sql.types import StringType
+
+    @F.pandas_udf(StringType())
+    def kept(toks: pd.Series) -> pd.Series:
+        return toks.map(lambda t: " ".join(collapse_repeats(list(t), widest)))
+
+    out = rows.select(*keys, F.size("toks").alias("n"), kept("toks").alias("kept"))
+    left = F.when(F.col("kept") == "", 0).otherwise(F.size(F.split("kept", " ")))
+    return out.select(*keys, "kept", (F.col("n") - left).alias("removed"))

@@ -82,11 +82,17 @@ def resolve_by_priority(df: DataFrame, key: str) -> DataFrame:
     schema = df.schema
 
     def choose(pdf):  # noqa: ANN001, ANN202
-        kept: list[tuple[float, float]] = []
+        from bisect import bisect_left
+
+        order = pdf.sort_values(["priority", "start", "end"], ascending=[False, True, True], kind="stable")
+        starts: list[float] = []  # of the chosen, which never overlap, so that only the neighbours of a row can meet it
+        ends: list[float] = []
         keep = []
-        for i, r in pdf.sort_values(["priority", "start", "end"], ascending=[False, True, True], kind="stable").iterrows():
-            if all(r["end"] <= a or r["start"] >= b for a, b in kept):
-                kept.append((r["start"], r["end"]))
+        for i, start, end in zip(order.index, order["start"], order["end"], strict=True):
+            at = bisect_left(starts, start)
+            if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= end):
+                starts.insert(at, start)
+                ends.insert(at, end)
                 keep.append(i)
         return pdf.loc[sorted(keep)]
 

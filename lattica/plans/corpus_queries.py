@@ -65,7 +65,7 @@ def sentence_segments(spark, sf_dir):  # noqa: ANN001, ANN201
     SELECT domain, w1, w2, CAST(n_count AS BIGINT) AS n_count, CAST(rank AS INTEGER) AS rank, CAST(total AS BIGINT) AS total FROM r WHERE rank <= 24""",
 )
 def topk_continuations(spark, sf_dir):  # noqa: ANN001, ANN201
-    return corpus.continuations(corpus.windows(_distinct(spark, sf_dir), 2))
+    return corpus.continuations(corpus.of_order(corpus.ngram_table(_distinct(spark, sf_dir), [2]), 2))
 
 
 @query(
@@ -79,8 +79,8 @@ def topk_continuations(spark, sf_dir):  # noqa: ANN001, ANN201
     SELECT domain, w1, w2, w3, round(CAST(l3 * c3 / tn + l2 * c2 / bn + (1 - l3 - l2) * c1 / un AS DOUBLE), 6) AS p FROM y""",
 )
 def interpolated_next_word(spark, sf_dir):  # noqa: ANN001, ANN201
-    rows = _distinct(spark, sf_dir)
-    return corpus.interpolated(*(corpus.windows(rows, n) for n in (1, 2, 3)))
+    table_of = corpus.ngram_table(_distinct(spark, sf_dir))
+    return corpus.interpolated(*(corpus.of_order(table_of, n) for n in (1, 2, 3)))
 
 
 @query(
@@ -102,8 +102,7 @@ def transition_quality(spark, sf_dir):  # noqa: ANN001, ANN201
 )
 def exact_dedup_first_wins(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id", "source", F.sha2("text", 256).alias("key"))
-    best = rows.groupBy("lang", "key").agg(F.min(F.struct("doc_id", "source")).alias("b"), F.count(F.lit(1)).alias("n_group"))
-    return best.select("lang", "b.doc_id", "b.source", "n_group")
+    return corpus.first_wins(rows, [F.col("lang"), F.col("key")], ["doc_id"]).select("lang", "doc_id", "source", "n_group")
 
 
 _NAMES = "SELECT lower(p_name) AS key, p_type AS category, 0 AS pr, p_partkey AS pos, 'part' AS origin FROM part UNION ALL SELECT lower(s_name), 'supplier', 1, s_suppkey, 'supplier' FROM supplier UNION ALL SELECT lower(n_name), 'nation', 2, n_nationkey, 'nation' FROM nation"
@@ -115,7 +114,7 @@ def provenance_merge(spark, sf_dir):  # noqa: ANN001, ANN201
     part = table(spark, sf_dir, "part").select(F.lower("p_name").alias("key"), F.col("p_type").alias("category"), F.lit(0).alias("pr"), F.col("p_partkey").alias("pos"), F.lit("part").alias("origin"))
     supplier = table(spark, sf_dir, "supplier").select(F.lower("s_name"), F.lit("supplier"), F.lit(1), F.col("s_suppkey"), F.lit("supplier"))
     nation = table(spark, sf_dir, "nation").select(F.lower("n_name"), F.lit("nation"), F.lit(2), F.col("n_nationkey").cast("long"), F.lit("nation"))
-    rows = corpus.first_wins(part.union(supplier).union(nation), [F.col("key"), F.col("category")], [F.col("pr"), F.col("pos")])
+    rows = corpus.first_wins(part.union(supplier).union(nation), [F.col("key"), F.col("category")], ["pr", "pos"])
     return rows.filter("key <> ''").select("key", "category", "origin", "n_group")
 
 
@@ -170,11 +169,11 @@ def phonetic_key_groups(spark, sf_dir):  # noqa: ANN001, ANN201
 @query(
     "regex_entity_extract",
     r"""SELECT doc_id, len(regexp_extract_all(text, 'https?://[^\s<>"]+')) AS n_urls, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_mails, len(regexp_extract_all(text, '[0-9]+')) AS n_numbers,
-    regexp_extract(text, '[0-9]+') AS first_number FROM documents WHERE text IS NOT NULL""",
+    regexp_extract(text, '[0-9]+') AS first_number FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
 )
 def regex_entity_extract(spark, sf_dir):  # noqa: ANN001, ANN201
     count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return rows.select("doc_id", count(r'https?://[^\s<>"]+').alias("n_urls"), count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("n_mails"), count("[0-9]+").alias("n_numbers"), F.regexp_extract("text", "[0-9]+", 0).alias("first_number"))
 
 

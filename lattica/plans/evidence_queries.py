@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions import similarity as S
 from lattica.functions import text as T
 from lattica.operators import fuzzy, grounding, lattice, retrieval
+from lattica.operators.shared import stored
 from lattica.plans.registry import query, table
 
 _TOKS = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
@@ -31,11 +32,12 @@ def lexicon_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "phrase_match",
-    f"""WITH {_DOCS}, k AS (SELECT DISTINCT array_to_string(words[1:4], ' ') AS phrase FROM b WHERE len(words) >= 4), g AS (SELECT id, unnest(list_transform(range(1, greatest(len(toks) - 2, 1)), lambda i: array_to_string(toks[i : i + 3], ' '))) AS phrase FROM d)
+    f"""WITH {_DOCS}, k AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(len(words) - 2, 1)), lambda i: array_to_string(words[i : i + 3], ' '))) AS phrase FROM b WHERE len(words) >= 4), g AS (SELECT id, unnest(list_transform(range(1, greatest(len(toks) - 2, 1)), lambda i: array_to_string(toks[i : i + 3], ' '))) AS phrase FROM d)
     SELECT id, phrase, count(*) AS places FROM g JOIN k USING (phrase) GROUP BY id, phrase""",
 )
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = items(spark, sf_dir).filter(F.size("words") >= 4).select(F.slice("words", 1, 4).alias("words"))
+    four = items(spark, sf_dir).filter(F.size("words") >= 4).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 3), lambda i: F.slice(F.col("words"), i, 4))).alias("words"))
+    phrases = four.distinct()
     return fuzzy.phrase_matches(documents(spark, sf_dir), phrases)
 
 
@@ -74,16 +76,24 @@ _BM = "round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = items(spark, sf_dir).select(F.col("item_id").alias("query"), F.explode("words").alias("tok"))
-    return retrieval.bm25(retrieval.postings(documents(spark, sf_dir)), asked, 5)
+    return retrieval.bm25(stored(retrieval.postings(documents(spark, sf_dir))), asked, 5)
 
 
-_PAIRS = "x AS (SELECT DISTINCT words[1] AS a, words[2] AS b FROM b WHERE len(words) >= 2 AND words[1] <> words[2])"
-
-
-@query("pair_and_retrieval", f"WITH {_DOCS}, {_INDEX}, {_PAIRS} SELECT x.a, x.b, m.id FROM x JOIN p m ON m.tok = x.a JOIN p n ON n.tok = x.b AND n.id = m.id")
+@query(
+    "pair_and_retrieval",
+    f"""WITH {_DOCS}, x AS (SELECT DISTINCT a, b FROM (SELECT unnest(words[1:-2]) AS a, unnest(words[2:]) AS b FROM b WHERE len(words) >= 2) WHERE a <> b), w AS (SELECT a AS tok FROM x UNION SELECT b FROM x),
+    e AS (SELECT id, len(toks) AS dl, unnest(toks) AS tok FROM d WHERE len(toks) > 0), s AS (SELECT count(*) AS nd, avg(len(toks)) AS ad FROM d WHERE len(toks) > 0),
+    p AS (SELECT id, tok, dl, count(*) AS tf FROM e WHERE tok IN (SELECT tok FROM w) GROUP BY ALL), f AS (SELECT tok, count(*) AS df FROM p GROUP BY tok),
+    z AS (SELECT id, tok, round(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / ad)), 4) AS score FROM p JOIN f USING (tok), s)
+    SELECT a, b, id, score, CAST(place AS INTEGER) AS place FROM (SELECT x.a, x.b, m.id, round(m.score + n.score, 4) AS score, row_number() OVER (PARTITION BY x.a, x.b ORDER BY round(m.score + n.score, 4) DESC, m.id) AS place
+    FROM x JOIN z m ON m.tok = x.a JOIN z n ON n.tok = x.b AND n.id = m.id) WHERE place <= 6""",
+)
 def pair_and_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = items(spark, sf_dir).filter(F.size("words") >= 2).select(F.element_at("words", 1).alias("a"), F.element_at("words", 2).alias("b")).filter("a <> b").distinct()
-    return retrieval.pair_hits(retrieval.postings(documents(spark, sf_dir)), pairs)
+    """The best documents of every pair of words that stand side by side in the benchmark."""
+    rows = items(spark, sf_dir).filter(F.size("words") >= 2)
+    pair = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.element_at("words", i).alias("a"), F.element_at("words", i + 1).alias("b")))
+    pairs = rows.select(F.inline(pair)).filter("a <> b").distinct()
+    return retrieval.pair_hits(stored(retrieval.postings(documents(spark, sf_dir))), pairs)
 
 
 @query(
@@ -145,12 +155,31 @@ def align_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.align_pair(words, other, ["run", "turn"])
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates of each slot with what speaks for them, and what each word pair that follows in a reading gains."""
+    words = _words(spark, sf_dir)
+    slots = stored(lattice.align_network(words, ["h0", "h1", "h2"]))
+    of = slots.groupBy("run", "slot").agg(F.countDistinct("hypothesis").alias("readings"))
+    found = slots.groupBy("run", "slot", F.col("word").alias("candidate")).agg(F.countDistinct("family").alias("families"), F.max("probability").alias("probability"), F.countDistinct("hypothesis").alias("sources"))
+    nothing = F.when(F.col("readings") >= 3, 0.25).when(F.col("readings") == 2, 2.35).otherwise(6.20)
+    empty = of.select("run", "slot", F.lit("").alias("candidate"), nothing.alias("nothing"))
+    after = F.lead("word").over(Window.partitionBy("run", "turn").orderBy("start"))
+    pairs = words.select("run", F.col("word").alias("left"), after.alias("right")).filter("right IS NOT NULL").groupBy("run", "left", "right").agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(empty, allowMissingColumns=True), pairs.select("run", "left", "right", F.log1p(F.col("n").cast("double")).alias("gain"))
+
+
 @query("beam_decode")
 def beam_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = lattice.align_network(_words(spark, sf_dir), ["h0", "h1", "h2"])
-    found = slots.groupBy("run", "slot", F.col("word").alias("candidate")).agg((2.2 * F.countDistinct("family") + 0.42 * F.max("probability")).alias("score"))
-    empty = slots.groupBy("run", "slot").agg(F.lit("").alias("candidate"), F.when(F.countDistinct("hypothesis") >= 3, 0.25).when(F.countDistinct("hypothesis") == 2, 2.35).otherwise(6.20).alias("score"))
-    return lattice.decode(found.unionByName(empty.select("run", "slot", "candidate", "score")))
+    rows, pairs = _candidates(spark, sf_dir)
+    return lattice.decode(lattice.scored(rows, {"families": 2.2, "probability": 0.42, "nothing": 1.0}), pairs)
+
+
+@query("beam_decode_components")
+def beam_decode_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lattice with the weights of the phrase decoder, and its width."""
+    rows, pairs = _candidates(spark, sf_dir)
+    rows = rows.withColumn("sources", F.least(F.lit(6), "sources"))
+    return lattice.decode(lattice.scored(rows, {"families": 0.52 * 2.2 + 0.55, "probability": 0.52 * 0.42, "sources": 0.08, "nothing": 0.52}), pairs.withColumn("gain", 0.72 * F.col("gain")), 96)
 
 
 @query("repair_loop")
@@ -158,4 +187,4 @@ def repair_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = rows.select("conv_id", "turn", "role", F.col("text").alias("claim"), before.alias("evidence")).filter("role = 'assistant'")
-    return grounding.repair(pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "claim", "evidence"))
+    return grounding.repair(pairs.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "claim", "evidence"))

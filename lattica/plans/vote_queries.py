@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
-from lattica.operators import grounding, voting
+from lattica.operators import claims, grounding, voting
 from lattica.plans.registry import query, table
+from lattica.sources import readers
 
 _TOKS = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
 _V = """v AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS slot, event_type AS candidate, user_id % 3 AS family, value AS confidence FROM events),
@@ -131,9 +132,7 @@ def token_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    at = F.sequence(F.lit(1), F.size("w"))
-    kept = F.filter(at, lambda i: (i == 1) | (F.element_at("w", F.greatest(F.lit(1), i - 1)) != F.element_at("w", i)))
-    return rows.select("conv_id", "turn", F.array_join(F.transform(kept, lambda i: F.element_at("w", i)), " ").alias("kept"))
+    return rows.select("conv_id", "turn", F.array_join(grounding.without_adjacent(F.col("w")), " ").alias("kept"))
 
 
 @query(
@@ -141,15 +140,12 @@ def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT conv_id, turn, coalesce(nullif(CASE WHEN role = 'assistant' THEN trim(text) END, ''), lag(trim(text)) OVER (PARTITION BY conv_id ORDER BY turn), '') AS stitched FROM conversations""",
 )
 def stitch_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    own = F.nullif(F.when(F.col("role") == "assistant", F.trim("text")), F.lit(""))
-    before = F.lag(F.trim("text")).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(own, before, F.lit("")).alias("stitched"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("said"), (F.col("role") == "assistant").alias("own"))
+    rows = claims.before(rows, ["conv_id"], ["turn"], ["said"])
+    return rows.select("conv_id", "turn", claims.first_text(F.when(F.col("own"), F.col("said")), F.col("before_said")).alias("stitched"))
 
 
 @query("latest_result", "SELECT c_custkey, o_orderstatus, o_orderkey FROM (SELECT o_custkey AS c_custkey, o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 WHEN 'F' THEN 3 ELSE 4 END, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
 def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "O", 2).when(F.col("o_orderstatus") == "F", 3).otherwise(4)
-    best = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.struct(place.alias("p"), (-F.col("o_orderkey")).alias("k"), "o_orderstatus")).alias("b"))
-    return best.select("c_custkey", "b.o_orderstatus", (-F.col("b.k")).alias("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_orderkey")
+    return readers.latest_result(rows, "c_custkey", "o_orderstatus", ["P", "O", "F"], "o_orderkey")

@@ -85,9 +85,9 @@ def term_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("term")).filter("term <> '' AND NOT startswith(term, '#')").distinct()
 
 
-def latest_result(df: DataFrame, run: str, version: str, precedence: list[str]) -> DataFrame:
-    """Of each run the row of the version that comes first in ``precedence``; unknown versions come last, by name."""
-    from pyspark.sql import Window
-
+def latest_result(df: DataFrame, run: str, version: str, precedence: list[str], newest: str | None = None) -> DataFrame:
+    """Of each run the row of the version that comes first in ``precedence``, and of those the newest; unknown versions come last, by name."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, precedence)), F.col(version)), F.lit(0)), F.lit(len(precedence) + 1))
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(run).orderBy(place, version))).filter("__rank = 1").drop("__rank")
+    latest = [(-F.col(newest)).alias("n")] if newest else []
+    best = df.groupBy(run).agg(F.min(F.struct(place.alias("p"), F.col(version).alias("v"), *latest, F.struct(*df.columns).alias("row"))).alias("b"))
+    return best.select("b.row.*")
