@@ -10,7 +10,8 @@ from __future__ import annotations
 STEMS = [
     "licen", "copy", "gpl", "software", "cc", "commons", "bsd", "apache", "mpl", "cddl", "eupl", "cecill", "odbl", "gfdl", "ofl", "wtfpl", "beerware",
     "domain", "rights", "droits", "rechte", "derechos", "propriet", "unauthorized", "permission", "permitted", "commercial", "derivative", "eula", "evaluation",
-    "patent", "warranty", "endorse", "rail", "llama", "spdx",
+    "patent", "warranty", "endorse", "rail", "llama", "spdx", "lizenz", "domaine", "dominio", "gemeinfrei", "vorbehalten", "reservados", "interdite", "prohibida", "comercial", "kommerziell", "mulan", "jpeg",
+    "perl", "agreement", "gutenberg", "wikimedia", "gemma", "training", "mining", "confidential", "internal", "personal", "educational", "shareware", "freeware",
 ]
 
 _NUMBER = {"1": "(?:1|one|i)", "2": "(?:2|two|ii)", "3": "(?:3|three|iii)", "4": "(?:4|four|iv)"}
@@ -174,6 +175,81 @@ _WRITTEN = [
     ("patent", 70, "patent", "patent (?:pending|license grant)"),
     ("copyleft", 60, "copyleft", "copyleft"),
     ("dual-license", 74, "dual", "dual licensed"),
+    # The same in other languages
+    ("mit", 86, "licence", "(?:sous|selon) (?:la )?licence mit"),
+    ("mit", 86, "licencia", "(?:bajo|segun|según) (?:la )?licencia mit"),
+    ("mit", 86, "lizenz", "(?:unter|gemäß) (?:der )?mit lizenz"),
+    ("apache-2", 90, "licence", "(?:sous|selon) (?:la )?licence apache(?: version)? 2(?: 0)?"),
+    ("apache-2", 90, "licencia", "(?:bajo|según) (?:la )?licencia apache(?: versión)? 2(?: 0)?"),
+    ("apache-2", 90, "lizenz", "(?:unter|gemäß) (?:der )?apache lizenz(?: version)? 2(?: 0)?"),
+    ("gpl", 80, "licence", "licence publique générale gnu"),
+    ("gpl", 80, "licencia", "licencia pública general(?: de)? gnu"),
+    ("cc", 62, "licence", "(?:sous )?licence creative commons"),
+    ("cc", 62, "licencia", "(?:bajo )?licencia creative commons"),
+    ("cc", 62, "lizenz", "(?:unter )?creative commons lizenz"),
+    ("public-domain", 84, "domaine", "(?:dans le|du) domaine public"),
+    ("public-domain", 84, "dominio", "(?:de|en el|del) dominio público"),
+    ("public-domain", 84, "gemeinfrei", "gemeinfrei(?:e|er|es)?"),
+    ("all-rights-reserved", 78, "vorbehalten", "rechte vorbehalten"),
+    ("all-rights-reserved", 78, "reservados", "derechos reservados"),
+    ("all-rights-reserved", 78, "interdite", "(?:toute )?reproduction(?: même partielle)? interdite"),
+    ("all-rights-reserved", 78, "prohibida", "prohibida (?:la|su) reproducción(?: total| parcial| total o parcial)?"),
+    ("non-commercial", 74, "commerciale", "(?:pas d )?utilisation commerciale(?: interdite)?"),
+    ("non-commercial", 74, "kommerzielle", "nicht kommerzielle nutzung"),
+    ("non-commercial", 74, "comercial", "uso no comercial"),
+    # Further licences by name
+    ("mulan-psl-2.0", 88, "mulan", "mulan (?:psl|permissive software license)(?: v?2)?"),
+    ("cc0", 93, "cc0", "cc0 public domain dedication"),
+    ("fsf-all-permissive", 88, "copying", "copying and distribution of this file with or without modification are permitted"),
+    ("gnu-all-permissive", 84, "verbatim", "verbatim copying and distribution of this (?:entire article|license document)"),
+    ("tcl", 84, "tcl", "tcl tk license"),
+    ("freetype", 86, "freetype", "freetype (?:project )?license"),
+    ("ijg", 86, "jpeg", "independent jpeg group"),
+    ("imagemagick", 86, "imagemagick", "imagemagick license"),
+    ("intel", 84, "intel", "intel open source license"),
+    ("sgi-b-2.0", 84, "sgi", "sgi free software license b"),
+    ("miros", 84, "miros", "miros licen[cs]e"),
+    ("nasa-1.3", 86, "nasa", "nasa open source agreement"),
+    ("nokia", 84, "nokia", "nokia open source license"),
+    ("qpl-1.0", 86, "public", "q public license"),
+    ("rpl-1.5", 86, "reciprocal", "reciprocal public license"),
+    ("rpsl-1.0", 84, "realnetworks", "realnetworks public source license"),
+    ("apsl-2.0", 88, "apple", "apple public source license"),
+    ("watcom-1.0", 84, "watcom", "sybase open watcom public license"),
+    ("lppl", 88, "latex", "latex project public license"),
+    ("cpal-1.0", 86, "attribution", "common public attribution license"),
+    ("ecos-2.0", 84, "ecos", "ecos license"),
+    ("efl-2.0", 84, "eiffel", "eiffel forum license"),
+    ("entessa", 84, "entessa", "entessa public license"),
+    ("fair", 84, "fair", "fair license"),
+    ("frameworx-1.0", 84, "frameworx", "frameworx open license"),
+    ("motosoto", 84, "motosoto", "motosoto open source license"),
+    ("multics", 84, "multics", "multics license"),
+    ("naumen", 84, "naumen", "naumen public license"),
+    ("oclc-2.0", 84, "oclc", "oclc research public license"),
+    ("simpl-2.0", 84, "simple", "simple public license"),
+    ("vsl-1.0", 84, "vovida", "vovida software license"),
+    ("wxwindows", 86, "wxwindows", "wxwindows library licen[cs]e"),
+    ("xnet", 84, "xnet", "x net license"),
+    ("artistic-1.0-perl", 88, "perl", "(?:same terms as|under the terms of) perl(?: itself)?"),
+    ("glide", 84, "glide", "3dfx glide source code general public license"),
+    ("hippocratic-2.1", 86, "hippocratic", "hippocratic license"),
+    ("anti-996", 86, "996", "anti 996 license"),
+    ("jsr-spec", 80, "specification", "java specification participation agreement"),
+    ("etalab-2.0", 86, "licence", "licence ouverte(?: etalab)?(?: open licence)?(?: 2 0)?"),
+    ("dl-de-by-2.0", 86, "datenlizenz", "datenlizenz deutschland(?: namensnennung| zero)?(?: version)?(?: 2 0)?"),
+    ("gutenberg", 88, "gutenberg", "project gutenberg (?:license|ebook)"),
+    ("wikimedia-terms", 80, "wikimedia", "wikimedia (?:foundation )?terms of use"),
+    ("bigscience-rail", 90, "bigscience", "bigscience(?: bloom)?(?: open)? rail(?: license)?"),
+    ("gemma-terms", 88, "gemma", "gemma terms of use"),
+    ("no-training", 82, "training", "(?:may not|must not|shall not) be used (?:for|in) (?:the )?training"),
+    ("no-training", 80, "mining", "text and data mining (?:is|rights are) reserved"),
+    ("confidential", 72, "confidential", "confidential and not for distribution"),
+    ("internal-use", 72, "internal", "for internal use only"),
+    ("personal-use", 72, "personal", "for personal(?: and)? non ?commercial use"),
+    ("educational-use", 70, "educational", "for educational (?:purposes|use) only"),
+    ("shareware", 72, "shareware", "this (?:program|software) is shareware"),
+    ("freeware", 70, "freeware", "(?:this (?:program|software) is )?freeware"),
     ("unknown-license", 30, "license", "(?:released|distributed|available|licensed) under (?:the|a|an) [^ ]+(?: [^ ]+)? license"),
     ("unknown-license", 20, "licensed", "licensed under"),
     ("unknown-license", 18, "license", "see (?:the )?license(?: file)?(?: for details)?"),

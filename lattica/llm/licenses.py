@@ -31,18 +31,30 @@ def lower_ascii(text: Column) -> Column:
 
 
 def _spans(padded: Column, rule: Column) -> Column:
-    """All places where the rule matches: what lies between the matches gives their offsets."""
-    between, found = F.split(padded, rule["pattern"], -1), F.regexp_extract_all(padded, rule["pattern"], F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    """All places where the rule matches: what lies between the matches gives their offsets.
 
-    def add(acc: Column, pair: Column) -> Column:
-        first = acc["at"] + F.char_length(pair["between"])
-        stop = first + F.char_length(pair["found"])
+    Offsets are added up in two levels, over and within runs of about the root of the number of matches, since an array grows by copying.
+    """
+    between, found = F.split(padded, rule["pattern"], -1), F.regexp_extract_all(padded, rule["pattern"], F.lit(0))
+    pairs = F.filter(F.arrays_zip(between.alias("between"), found.alias("found")), lambda p: p["found"].isNotNull())
+    sizes = F.transform(pairs, lambda p: F.struct(F.char_length(p["between"]).alias("before"), F.char_length(p["found"]).alias("own")))
+    width = F.ceil(F.sqrt(F.size(found))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda k: F.slice(sizes, k * width + 1, width))
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def begin(acc: Column, run: Column) -> Column:
+        length = F.aggregate(run, F.lit(0), lambda n, p: n + p["before"] + p["own"])
+        return F.struct((acc["at"] + length).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins"))
+
+    def add(acc: Column, p: Column) -> Column:
+        first = acc["at"] + p["before"]
+        stop = first + p["own"]
         span = F.struct(first.alias("start"), stop.alias("stop"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"))
         return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.filter(F.arrays_zip(between.alias("between"), found.alias("found")), lambda p: p["found"].isNotNull())
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda acc: acc["spans"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    begins = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), begin, lambda acc: acc["begins"])
+    spans = F.flatten(F.transform(F.arrays_zip(runs.alias("run"), begins.alias("at")), lambda r: F.aggregate(r["run"], F.struct(r["at"].alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])))
+    return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
 def _kept(spans: Column) -> Column:
