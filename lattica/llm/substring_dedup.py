@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.shared import bucketed, chunks, materialize, table, utf8
@@ -316,14 +316,35 @@ def _marked(ids: np.ndarray, offsets: np.ndarray, data: bytes, copies: np.ndarra
     return np.cumsum(change[:-1]) > 0
 
 
+def _numbers(ids: DataFrame) -> DataFrame:
+    """(id, number) of the distinct non-null values of ``ids`` (id): whole numbers in the order of the ids.
+
+    Ranges of ids are numbered apart, each from what the ranges before it hold; only their counts reach the driver.
+    """
+    spark = ids.sparkSession
+    ranged = ids.filter("id IS NOT NULL").distinct().repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "id-ranges")
+    counts, begins, total = ranged.groupBy("part").count().orderBy("part").collect(), [], 0  # one for each partition
+    for part, n in counts:
+        begins.append((part, total))
+        total += n
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return ranged.join(F.broadcast(spark.createDataFrame(begins, "part int, begin long")), "part").select("id", (F.col("begin") + place).alias("number"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
-    """One row per document: doc_id (long), n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary) if asked for.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary) if asked for.
 
     Removed is each byte covered by a string of 50 bytes that also starts in a document of a smaller id. Null and empty texts have
-    no bytes; documents that repeat an id count as one and take nothing from one another; a null id counts as the largest. Needs
-    memory in proportion to the longest document.
+    no bytes; documents that repeat an id count as one and take nothing from one another; a null id counts as the largest. Ids of any
+    type that has an order will do; those that are no whole numbers are numbered first. Needs memory in proportion to the longest document.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        numbers = materialize(_numbers(docs.select(F.col(id_col).alias("id"))), "id-numbers")
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(numbers, "id", "left").select(F.col("number").alias("doc_id"), "text")
+        out = remove_repeats(rows, with_kept=with_kept)
+        return out.join(numbers.withColumnRenamed("number", "doc_id"), "doc_id", "left").drop("doc_id").withColumnRenamed("id", "doc_id").select("doc_id", *out.columns[1:])
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
     base = bucketed(batches_of(docs, id_col, text_col), "batches", "batch", total // BUCKET_BYTES)
     shares = max(LEAST_SHARES, total // SHARE_BYTES)

@@ -261,6 +261,11 @@ def test_substring_dedup_hard(spark):
     got = sub.remove_repeats(hard(spark).repartition(3)).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removed(HARD)
     assert sub.remove_repeats(hard(spark).limit(0)).count() == 0
+    named = [(None if i is None else f"id{i}é", t) for i, t in HARD]
+    order = {n: k for k, n in enumerate(sorted({n for n, _ in named if n}))}
+    got = sub.remove_repeats(spark.createDataFrame(named, "doc_id string, text string")).collect()
+    want = brute_removed([(order.get(n), t) for n, t in named])
+    assert sorted((str(order.get(r.doc_id)), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
 @pytest.mark.parametrize("common", [False, True])
