@@ -13,7 +13,7 @@ from lattica.plans.registry import query, table
 
 _TOKS = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
 _DOCS = rf"d AS (SELECT doc_id AS id, {_TOKS} AS toks FROM documents), b AS (SELECT item_id, {_TOKS} AS words FROM benchmark)"
-_INDEX = "p AS (SELECT id, tok, len(any_value(toks)) AS dl, count(*) AS tf FROM (SELECT id, toks, unnest(toks) AS tok FROM d) GROUP BY id, tok)"
+_INDEX = "p AS (SELECT id, tok, dl, count(*) AS tf FROM (SELECT id, len(toks) AS dl, unnest(toks) AS tok FROM d) GROUP BY id, tok, dl)"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

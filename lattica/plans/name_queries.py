@@ -157,7 +157,7 @@ def phrase_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "quota_retrieval",
-    rf"""WITH d AS (SELECT doc_id AS id, lang, source, {_TOKS} AS toks FROM documents), p AS (SELECT id, any_value(lang) AS lang, any_value(source) AS source, tok, len(any_value(toks)) AS dl, count(*) AS tf FROM (SELECT *, unnest(toks) AS tok FROM d) GROUP BY id, tok),
+    rf"""WITH d AS (SELECT doc_id AS id, lang, source, {_TOKS} AS toks FROM documents), p AS (SELECT id, lang, source, tok, dl, count(*) AS tf FROM (SELECT id, lang, source, len(toks) AS dl, unnest(toks) AS tok FROM d) GROUP BY ALL),
     s AS (SELECT count(*) AS nd, avg(dl) AS ad FROM (SELECT DISTINCT id, dl FROM p)), f AS (SELECT tok, count(*) AS df FROM p GROUP BY tok), b AS (SELECT unnest({_TOKS}) AS tok FROM benchmark),
     q AS (SELECT tok, row_number() OVER (ORDER BY round(count(*) / (1 + ln(1 + any_value(df))), 6) DESC, tok) AS nr FROM b JOIN f USING (tok) GROUP BY tok QUALIFY nr <= 8),
     x AS (SELECT p.*, round(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / ad)), 4) AS score FROM p JOIN q USING (tok) JOIN f USING (tok), s WHERE dl BETWEEN 5 AND 4096),
