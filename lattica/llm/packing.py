@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import os
-import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,7 +43,10 @@ class _Ids(dict):
 
 
 class Encoder:
-    """Token ids as little-endian bytes. Texts are cut at plain white space, which no token of this tokenizer spans, and the ids of the strings in between are remembered, up to ``REMEMBERED_BYTES`` of both."""
+    """Token ids as little-endian bytes. Texts are cut at plain white space, which no token of this tokenizer spans, and the ids of the strings in between are remembered, up to ``REMEMBERED_BYTES`` of both.
+
+    A full stop or comma behind a letter is parted from it by the tokenizer, so of new strings that end so only what stands before is encoded.
+    """
 
     #: Stands between strings that are encoded together; strings with this character go by themselves.
     BETWEEN = "\x01"
@@ -55,6 +57,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
         self.tokenizer, self.known, self.held = Tokenizer.from_file(path), _Ids({"": b""}), 0
         (self.between,) = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+        self.ends = {end: np.array(self.tokenizer.encode(end, add_special_tokens=False).ids, "<u4").tobytes() for end in ".,"}
+        self.parted = all(self.tokenizer.encode(x, add_special_tokens=False).ids == [*self.tokenizer.encode("aé", add_special_tokens=False).ids, *self.tokenizer.encode(x[2:], add_special_tokens=False).ids] for x in ("aé.", "aé,"))
 
     def _new(self, words: list[str], together: int = 200) -> Iterator[tuple[str, bytes]]:
         plain = [w for w in words if self.BETWEEN not in w]
@@ -73,8 +77,11 @@ class Encoder:
         known.more = {}
         missing = set().union(*split).difference(known)
         if missing:
-            found = dict(self._new(list(missing)))
-            size = sum(map(sys.getsizeof, found)) + sum(map(sys.getsizeof, found.values())) + 100 * len(found)
+            ended = [w for w in missing if w.endswith((".", ",")) and w[-2:-1].lower().isalpha()] if self.parted else []
+            found = dict(self._new(list({w[:-1] for w in ended}.union(missing.difference(ended)).difference(known))))
+            for w in ended:
+                found[w] = (found[w[:-1]] if w[:-1] in found else known[w[:-1]]) + self.ends[w[-1]]
+            size = sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)  # what both objects and their entry take besides
             if self.held + size <= REMEMBERED_BYTES:
                 self.held += size
                 known.update(found)
