@@ -116,12 +116,24 @@ def transition_quality(rows: DataFrame, bigrams: DataFrame) -> DataFrame:
     return agg.select("id", F.col("n").alias("n_steps"), F.round(0.70 * F.col("mean") + 0.30 * low, 4).alias("quality"))
 
 
+def longest_run(toks: Column) -> Column:
+    """How often the word that stands most often in a row does so; 0 for no words."""
+    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+
+    def step(acc: Column, word: Column) -> Column:
+        run = F.when(acc["word"] == word, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(word.alias("word"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(toks, start, step, lambda acc: acc["best"])
+
+
 def token_profile(rows: DataFrame) -> DataFrame:
-    """Per id of (id, toks): number of tokens, share of the most frequent, share of distinct ones, longest run, and whether that is degenerate (30 tokens or more)."""
-    each = rows.select("id", F.posexplode("toks").alias("pos", "tok"))
-    counts = each.groupBy("id", "tok").count().groupBy("id").agg(F.sum("count").alias("n_tokens"), F.max("count").alias("top"), F.count(F.lit(1)).alias("different"))
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("id", "tok").orderBy("pos"))
-    runs = each.withColumn("island", island).groupBy("id", "tok", "island").count().groupBy("id").agg(F.max("count").alias("longest_run"))
-    out = counts.join(runs, "id").select("id", "n_tokens", (F.col("top") / F.col("n_tokens")).alias("top_share"), (F.col("different") / F.col("n_tokens")).alias("distinct_share"), "longest_run")
+    """Per id of (id, toks): number of tokens, share of the most frequent, share of distinct ones, longest run, and whether that is degenerate (30 tokens or more).
+
+    Each row by itself: in sorted order the most frequent word has the longest run. Rows without tokens are left out; nothing is shuffled.
+    """
+    some, n = rows.filter(F.size("toks") > 0), F.size("toks").cast("long")
+    top, different = longest_run(F.array_sort("toks")), F.size(F.array_distinct("toks"))
+    out = some.select("id", n.alias("n_tokens"), (top / n).alias("top_share"), (different / n).alias("distinct_share"), longest_run(F.col("toks")).alias("longest_run"))
     bad = (F.col("n_tokens") >= 30) & ((F.col("top_share") > 0.20) | (F.col("distinct_share") < 0.24) | (F.col("longest_run") >= 8))
     return out.withColumn("degenerate", bad)
