@@ -111,6 +111,17 @@ def number_words_column(value: Column) -> Column:
     return F.when(value.between(0, 9999), F.array_join(F.array_compact(parts), " و "))
 
 
+def rendered(toks: Column, prefixes: list[str], suffixes: list[str], joiner: str = "\u200c") -> Column:
+    """The words of an array as one text: a joiner before each of ``suffixes`` and behind each of ``prefixes``, else a space."""
+    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("last"))
+
+    def step(acc: Column, word: Column) -> Column:
+        between = F.when(acc["last"].isNull(), "").when(acc["last"].isin(prefixes) | word.isin(suffixes), joiner).otherwise(" ")
+        return F.struct(F.concat(acc["text"], between, word).alias("text"), word.alias("last"))
+
+    return F.aggregate(toks, start, step, lambda acc: acc["text"])
+
+
 def protected(text: Column, pattern: str, mark: str = "NAME") -> Column:
     """A struct of ``text``, in which what the pattern matches is a numbered mark, and ``names``, what stood there, in order."""
     names = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))

@@ -30,6 +30,24 @@ def vocabulary(toks: DataFrame) -> DataFrame:
     return rows.select("tok", "n_count", "zipf", (F.col("zipf") >= COMMON_WORD).alias("is_member"))
 
 
+def active_words(known: DataFrame, allowed: DataFrame, blocked: DataFrame, stems: DataFrame | None = None, stem_zipf: float = 4.0) -> DataFrame:
+    """(tok, why) of the words of a ``vocabulary`` that count as words: common ones, those of ``allowed`` (tok), and those whose stem in ``stems`` (tok, stem) is common enough; never one of ``blocked`` (tok)."""
+    found = known.filter("is_member").select("tok", F.lit("common").alias("why")).unionByName(allowed.select("tok", F.lit("allowed").alias("why")))
+    if stems is not None:
+        strong = known.filter(F.col("zipf") >= stem_zipf).select(F.col("tok").alias("stem"))
+        found = found.unionByName(stems.join(strong, "stem", "left_semi").select("tok", F.lit("stem").alias("why")))
+    return found.groupBy("tok").agg(F.min("why").alias("why")).join(blocked.select("tok").distinct(), "tok", "left_anti")
+
+
+def without_bridges(rows: DataFrame, keys: list[str], order: list[str], value: str, families: str, pairs: DataFrame) -> DataFrame:
+    """``rows`` with ``rewritten``: null for a value that one family has, between two neighbours of several that are a pair of ``pairs`` (a, b)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    around = rows.withColumns({"__a": F.lag(value).over(w), "__b": F.lead(value).over(w), "__fa": F.lag(families).over(w), "__fb": F.lead(families).over(w)})
+    known = pairs.select(F.col("a").alias("__a"), F.col("b").alias("__b")).distinct().withColumn("__known", F.lit(True))
+    bridge = F.coalesce(F.col("__known") & (F.col(families) < 2) & (F.col("__fa") >= 2) & (F.col("__fb") >= 2), F.lit(False))
+    return around.join(known, ["__a", "__b"], "left").withColumn("rewritten", F.when(~bridge, F.col(value))).drop("__a", "__b", "__fa", "__fb", "__known")
+
+
 def pivoted(counts: DataFrame, key: str, domain: str, domains: list[str], value: str) -> DataFrame:
     """A row for each key with the sum of ``value`` in each named domain, 0 where it has none."""
     return counts.groupBy(key).pivot(domain, domains).agg(F.sum(value)).fillna(0, domains)

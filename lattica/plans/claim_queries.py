@@ -61,6 +61,7 @@ def _without(what: str, name: str) -> str:
     return f"{name} AS (SELECT c.conv_id, c.turn, part FROM (SELECT DISTINCT conv_id, turn, unnest({what}) AS part FROM c) c WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT conv_id, unnest({what}) AS part FROM u) e WHERE e.conv_id = c.conv_id AND e.part = c.part))"
 
 
+_CUT = r"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), lambda s: trim(s, ' ')), lambda s: s <> '')"
 _LONG = f"list_filter({_WORDS.format('text')}, lambda t: length(t) >= 12)"
 _NEGATIVE = f"list_filter({_WORDS.format('text')}, lambda t: list_contains({NEGATIONS['negation']}, t))"
 MARKUP = r"</?[a-z]+>|```|\{\{"
@@ -82,7 +83,8 @@ def _parts(name: str):  # noqa: ANN202
     rf"""WITH {_CLAIMS}, {_without(_NUMBERS.format("text"), "n")}, {_without(_LONG, "t")}, {_without(_NEGATIVE, "g")}
     SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END, CASE WHEN length(text) > 1500 THEN 'too_long' END, CASE WHEN regexp_matches(text, '{MARKUP}') THEN 'markup' END,
     CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.conv_id = c.conv_id AND n.turn = c.turn) THEN 'unsupported_number' END, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.conv_id = c.conv_id AND t.turn = c.turn) THEN 'unsupported_term' END,
-    CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.conv_id = c.conv_id AND g.turn = c.turn) THEN 'unsupported_negation' END], lambda x: x IS NOT NULL), ',') AS codes FROM c""",
+    CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.conv_id = c.conv_id AND g.turn = c.turn) THEN 'unsupported_negation' END, CASE WHEN len(list_distinct({_CUT})) < len({_CUT}) THEN 'repeated_sentence' END,
+    CASE WHEN NOT regexp_matches(coalesce(text, ''), '[.!?]\s*$') THEN 'unfinished' END, CASE WHEN regexp_matches(text, '\[[^\]]*\]') THEN 'brackets' END], lambda x: x IS NOT NULL), ',') AS codes FROM c""",
 )
 def validation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine, its = _sides(spark, sf_dir)
@@ -91,6 +93,8 @@ def validation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = C.flagged(rows, C.missing(mine, its, ["conv_id"], ["turn"], _parts(name)), ["conv_id", "turn"], f"no_{name}")
     checks = {"empty": F.trim(F.coalesce(text, F.lit(""))) == "", "too_long": F.char_length(text) > 1500, "markup": text.rlike(MARKUP)}
     checks |= {f"unsupported_{x}": F.col(f"no_{x}") for x in ("number", "term", "negation")}
+    said = C.sentences(text)
+    checks |= {"repeated_sentence": F.size(F.array_distinct(said)) < F.size(said), "unfinished": ~F.coalesce(text, F.lit("")).rlike(r"[.!?]\s*$"), "brackets": text.rlike(r"\[[^\]]*\]")}
     return C.codes(rows, checks).select("conv_id", "turn", F.array_join("codes", ",").alias("codes"))
 
 
@@ -114,7 +118,6 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.contradictions(mine, its, ["conv_id"], OPPOSITES).select("conv_id", "turn", F.array_join("contradictions", ",").alias("contradictions"))
 
 
-_CUT = r"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), lambda s: trim(s, ' ')), lambda s: s <> '')"
 
 
 @query(

@@ -36,6 +36,40 @@ def vocabulary_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.vocabulary(words).withColumn("zipf", F.round("zipf", 4))
 
 
+@query(
+    "active_words",
+    rf"""WITH t AS (SELECT unnest({_TOKS}) AS tok FROM documents), c AS (SELECT tok, count(*) AS n_count FROM t GROUP BY tok), z AS (SELECT *, log10(n_count / (SELECT sum(n_count) FROM c) * 1e9) AS zipf FROM c),
+    s AS (SELECT tok, tok[1 : length(tok) - length(e)] AS stem FROM c, (VALUES ('s'), ('ing'), ('ed')) AS e(e) WHERE ends_with(tok, e) AND length(tok) >= length(e) + 3),
+    f AS (SELECT tok, 'common' AS why FROM z WHERE zipf >= 3.25 UNION ALL SELECT unnest({_TOKS}) AS tok, 'allowed' FROM benchmark UNION ALL SELECT s.tok, 'stem' FROM s JOIN z ON z.tok = s.stem WHERE z.zipf >= 4.0)
+    SELECT tok, min(why) AS why FROM f WHERE tok NOT IN (SELECT unnest({_TOKS}) FROM conversations WHERE role = 'system' AND text IS NOT NULL) GROUP BY tok""",
+)
+def active_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.operators.slots import verb_like
+
+    words = lambda t, rows=None: (rows if rows is not None else table(spark, sf_dir, t)).select(F.explode(T.tokens(F.col("text"))).alias("tok"))
+    known = C.vocabulary(words("documents"))
+    stems = verb_like(known, known.select(F.col("tok").alias("stem")), [], ["s", "ing", "ed"])
+    blocked = words("conversations", table(spark, sf_dir, "conversations").filter("role = 'system'"))
+    return C.active_words(known, words("benchmark"), blocked, stems)
+
+
+@query(
+    "bridge_words",
+    rf"""WITH w AS (SELECT conv_id, turn, role, unnest({_TOKS}) AS tok, unnest(range(len({_TOKS}))) AS pos FROM conversations), f AS (SELECT conv_id, tok, count(DISTINCT role) AS families FROM w GROUP BY ALL),
+    g AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM (SELECT {_TOKS} AS t FROM documents)),
+    n AS (SELECT w.conv_id, turn, pos, tok, families, lag(tok) OVER o AS a, lead(tok) OVER o AS b, lag(families) OVER o AS fa, lead(families) OVER o AS fb FROM w JOIN f USING (conv_id, tok) WINDOW o AS (PARTITION BY w.conv_id, turn ORDER BY pos))
+    SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, tok FROM n WHERE families < 2 AND fa >= 2 AND fb >= 2 AND a || ' ' || b IN (SELECT g FROM g)""",
+)
+def bridge_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that one role says, between two that others say too and that stand side by side in the documents."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(T.tokens(F.col("text"))).alias("pos", "tok"))
+    by = rows.groupBy("conv_id", "tok", "role").agg(F.count(F.lit(1)).alias("n")).groupBy("conv_id", "tok").agg(F.count(F.lit(1)).alias("families"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("all").alias("domain"), T.tokens(F.col("text")).alias("toks"))
+    pairs = corpus.windows(docs, 2).select(F.col("w1").alias("a"), F.col("w2").alias("b"))
+    out = C.without_bridges(rows.join(by, ["conv_id", "tok"]), ["conv_id", "turn"], ["pos"], "tok", "families", pairs)
+    return out.filter("rewritten IS NULL").select("conv_id", "turn", "pos", "tok")
+
+
 @query("domain_pivot", f"WITH {_DISTINCT}, {_grams(1)} SELECT gram, " + ", ".join(f"CAST(coalesce(sum(n_count) FILTER (domain = '{x}'), 0) AS BIGINT) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM g GROUP BY gram")
 def domain_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pivoted(corpus.ngrams(_distinct(spark, sf_dir), 1), "gram", "domain", ["de", "en", "es", "fr"], "n_count")

@@ -62,7 +62,7 @@ def fuzzy_join_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fuzzy_join_indel")
 def fuzzy_join_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir)
-    return fuzzy.blocked_join(rows, rows, lambda c: F.substring(T.latin_key(c), 1, 1), S.indel_ratio, 2, 0.74, 4, ["brand"])
+    return fuzzy.blocked_join(rows, rows, lambda c: F.substring(T.latin_key(c), 1, 1), S.indel_ratio, 2, 0.60, 4, ["brand"])
 
 
 _BM = "round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / ad))), 4)"

@@ -71,6 +71,16 @@ def number_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", F.get(parts, F.lit(0)).alias("number"), F.get(parts, F.lit(1)).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "rendered_turns",
+    f"""WITH {_SAID}, b AS (SELECT *, lag(tok) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS p FROM w)
+    SELECT conv_id, turn, sha256(string_agg(CASE WHEN p IS NULL THEN '' WHEN p IN ('re', 'in') OR tok IN ('er', 'en', 'ing') THEN chr(8204) ELSE ' ' END || tok, '' ORDER BY pos)) AS text_sha256 FROM b GROUP BY ALL""",
+)
+def rendered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("toks")).filter(F.size("toks") > 0)
+    return rows.select("conv_id", "turn", F.sha2(T.rendered(F.col("toks"), ["re", "in"], ["er", "en", "ing"]), 256).alias("text_sha256"))
+
+
 _TWO = "list_transform(range(1, greatest(len(w) - {0} + 2, 1)), lambda i: array_to_string(w[i : i + {0} - 1], ' '))"
 
 

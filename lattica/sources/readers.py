@@ -42,6 +42,13 @@ def word_observations(rows: DataFrame) -> DataFrame:
     return each.withColumn("id", F.concat_ws(":", "hypothesis", number.cast("string"))).drop("seg", "pos")
 
 
+def shifted(rows: DataFrame, offset: str) -> DataFrame:
+    """Hypotheses whose segments and words count time from a clip's begin, moved to that of the recording by the column ``offset``; segments are numbered anew."""
+    word = lambda w: w.withField("start", w["start"] + F.col(offset)).withField("end", w["end"] + F.col(offset))
+    moved = F.transform("segments", lambda s, k: word(s).withField("id", k).withField("words", F.transform(s["words"], word)))
+    return rows.withColumn("segments", moved).drop(offset)
+
+
 def delimited(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import similarity as S
 from lattica.functions import text as T
-from lattica.operators import claims, grounding, intervals, lattice, names, retrieval, slots
+from lattica.operators import claims, fuzzy, grounding, intervals, lattice, names, retrieval, slots
 
 
 def first(c):
@@ -137,3 +137,22 @@ def test_number_words_and_names(spark):
     assert spark.range(1).select(T.displayed(F.lit(" a  b ,c‏ "))).first()[0] == "a b,c"
     rows = spark.createDataFrame([(1, "a a b c b c b c d".split()), (2, [])], "k int, toks array<string>")
     assert sorted((r.k, r.kept, r.removed) for r in grounding.collapsed(rows, ["k"]).collect()) == [(1, "a b c d", 5), (2, "", 0)]
+
+
+def test_blocked_join_by_indel_equals_all_pairs(spark):
+    rng = random.Random(8)
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)})
+    rows = spark.createDataFrame([(t, rng.choice("xy")) for t in terms], "term string, brand string")
+    kind = {r.term: r.brand for r in rows.collect()}
+    got = {(r.term, r.match): round(r.similarity, 9) for r in fuzzy.blocked_join(rows, rows, first, S.indel_ratio, 2, 0.6, 99, ["brand"]).collect()}
+    want = {(a, b): round(S.indel(a, b), 9) for a in terms for b in terms if a != b and kind[a] == kind[b] and a[0] == b[0] and abs(len(a) - len(b)) <= 2 and S.indel(a, b) >= 0.6}
+    assert got == want
+
+
+def test_wider_beams_are_no_worse():
+    rng = random.Random(7)
+    for _ in range(20):
+        path = [[(w, rng.uniform(0, 3)) for w in rng.sample(["", "a", "b", "c", "d"], 4)] for _ in range(8)]
+        pairs = {(x, y): rng.uniform(-2, 2) for x in "abcd" for y in "abcd"}
+        scores = [lattice.beam(path, pairs, width, each)[0] for width, each in ((1, 1), (72, 1), (72, 2))]
+        assert scores[0] <= scores[1] + 1e-9 and abs(scores[1] - scores[2]) < 1e-9

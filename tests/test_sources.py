@@ -105,6 +105,13 @@ def test_latest_result(spark):
     assert sorted(tuple(r) for r in readers.latest_result(rows, "run", "version", ["V9", "V2"], "at").collect()) == [("r", "V9", 2), ("s", "yy", 1)]
 
 
+def test_clips_are_shifted(spark):
+    kind = "offset double, segments array<struct<id: int, start: double, end: double, words: array<struct<start: double, end: double, word: string>>>>"
+    rows = spark.createDataFrame([(10.0, [(7, 0.0, 1.0, [(0.0, 0.5, "a")]), (9, 1.0, 2.0, None)]), (5.0, None)], kind)
+    got = [r.segments for r in readers.shifted(rows, "offset").collect()]
+    assert [(s.id, s.start, s.end) for s in got[0]] == [(0, 10.0, 11.0), (1, 11.0, 12.0)] and got[0][0].words[0].end == 10.5 and got[1] is None
+
+
 def test_models_are_checked(spark):
     tasks = spark.createDataFrame([("1", ["a", "b"], [0.1, 0.9], "z"), ("2", ["c"], [1.0], "y")], "id string, options array<string>, scores array<double>, fallback string").coalesce(1)
     got = lambda chooser: {r.id: (r.choice, r.source) for r in external.chosen(tasks, chooser).collect()}
