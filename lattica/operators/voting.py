@@ -44,10 +44,17 @@ def emission(exact: Column, strong: Column, loose: Column, sources: Column, prob
 
 
 def family_jaccard(df: DataFrame) -> DataFrame:
-    """|A and B| / |A or B| of the distinct tokens of each pair of families in (grp, family, tok), from counts alone: no set is gathered."""
+    """|A and B| / |A or B| of the distinct tokens of each pair of families in (grp, family, tok), from counts alone: no family's tokens are gathered.
+
+    Tokens of the same families count together, so pairs are formed once for each set of families that occurs.
+    """
     each = df.select("grp", "family", "tok").distinct()
     sizes = each.groupBy("grp", "family").agg(F.count(F.lit(1)).alias("n"))
-    both = each.alias("a").join(each.alias("b"), ["grp", "tok"]).filter("a.family < b.family").groupBy("grp", F.col("a.family").alias("family_a"), F.col("b.family").alias("family_b")).agg(F.count(F.lit(1)).alias("common"))
+    of = each.groupBy("grp", "tok").agg(F.array_sort(F.collect_set("family")).alias("families")).filter(F.size("families") > 1)
+    sets = of.groupBy("grp", "families").agg(F.count(F.lit(1)).alias("n"))
+    first = sets.select("grp", "families", "n", F.posexplode("families").alias("at", "family_a"))
+    pairs = first.select("grp", "n", "family_a", F.explode(F.slice("families", F.col("at") + 2, F.size("families"))).alias("family_b"))
+    both = pairs.groupBy("grp", "family_a", "family_b").agg(F.sum("n").alias("common"))
     a, b = (sizes.select("grp", F.col("family").alias(f"family_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     out = both.join(a, ["grp", "family_a"]).join(b, ["grp", "family_b"])
     return out.select("grp", "family_a", "family_b", "common", F.round(F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")), 6).alias("jaccard"))
