@@ -1,8 +1,12 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
 Rolling hashes over the bytes trigger phrases: of each window of ``LENGTH`` bytes the least hash of its ``GRAM``-byte strings is
-taken, and windows that follow one another with the same least hash make a phrase, which so overlaps the next by ``LENGTH`` - 1
-bytes. Every window starts in exactly one phrase, and where it occurs again it is in a phrase of the same hash.
+taken, and windows that follow one another with the same least hash make a phrase. Neighbouring phrases overlap by ``LENGTH`` - 1 bytes,
+so no phrase's windows begin another's, every window starts in exactly one phrase, and where it occurs again it is in a phrase of the
+same hash. The corpus is its parse, the sequence of phrases, over the dictionary of different phrases. Up to a depth of ``LENGTH`` bytes,
+which is all that is asked for, windows stand in corpus order as they do in the suffix array of the dictionary, each as often as the
+parse has its phrase: with this overlap a window never needs the phrase behind its own, so the parse's own suffix array, which orders
+what lies deeper, isn't built.
 
 1. Documents are gathered in batches, written once as a table in buckets, so that later joins leave it where it is. A document equal to one of a smaller id is removed whole and takes no part
    in what follows.
@@ -14,7 +18,8 @@ bytes. Every window starts in exactly one phrase, and where it occurs again it i
 
 Hashes of very many batches (a line that is everywhere) are dealt out window by window, by the windows' own bytes, so that their text
 spreads over the shares; equal windows and phrases of one batch are one entry. A share still gets a row of each batch that has one of its
-hashes, so the share of such a line grows by a few bytes a batch.
+hashes, so the share of such a line grows by some 50 bytes a batch; from 100 GB on batches grow with the corpus, up to 16 MB, which
+leaves 0.3 GB for that share at 100 TB.
 """
 
 from __future__ import annotations
@@ -33,7 +38,8 @@ from lattica.llm.words import mixed, sliding_min
 LENGTH = 50
 #: A multiple of 8. Longer ones are shared by chance less often, shorter ones make fewer phrases.
 GRAM = 24
-BATCH_BYTES = 1 << 20
+#: Text of a batch, and how much it may grow to so that a corpus has no more than so many batches.
+BATCH_BYTES, LARGEST_BATCH, BATCHES = 1 << 20, 16 << 20, 100_000
 #: A hash that so many batches have is dealt out by single windows.
 COMMON_FROM = 200
 #: Text per share of phrases, and least number of shares.
@@ -43,7 +49,7 @@ BUCKET_BYTES = 32 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 
-def batches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def batches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """batch, ids, known (1 where the id is not null), offsets, SHA-256 digests and zstandard-compressed bytes; a document is never divided."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
@@ -55,7 +61,7 @@ def batches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("id")
-            for a, b in chunks(offsets, BATCH_BYTES):
+            for a, b in chunks(offsets, batch_bytes):
                 known = ids.slice(a, b - a).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
                 values = ids.slice(a, b - a).fill_null(_NO_ID).to_numpy().astype("<i8")
                 at, raw = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]].tobytes()
@@ -346,7 +352,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = remove_repeats(rows, with_kept=with_kept)
         return out.join(numbers.withColumnRenamed("number", "doc_id"), "doc_id", "left").drop("doc_id").withColumnRenamed("id", "doc_id").select("doc_id", *out.columns[1:])
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
-    base = bucketed(batches_of(docs, id_col, text_col), "batches", "batch", total // BUCKET_BYTES)
+    batch_bytes = min(LARGEST_BATCH, max(BATCH_BYTES, total // BATCHES))
+    base = bucketed(batches_of(docs, id_col, text_col, batch_bytes), "batches", "batch", total // BUCKET_BYTES)
     shares = max(LEAST_SHARES, total // SHARE_BYTES)
     kind = "batch long, share long, info binary"
 
