@@ -154,10 +154,12 @@ def folded(html: str) -> Node:
     root = Node("")
     at_path: dict[tuple[str, ...], Node] = {(): root}
     for path, text, links in blocks(parse(html)):
-        for k in range(len(path)):
-            if path[: k + 1] not in at_path:
-                at_path[path[: k + 1]] = child = Node(path[k])
-                at_path[path[:k]].children.append(child)
+        new = len(path)  # from which place on the path has no node yet
+        while path[:new] not in at_path:
+            new -= 1
+        for k in range(new, len(path)):
+            at_path[path[: k + 1]] = child = Node(path[k])
+            at_path[path[:k]].children.append(child)
         at_path[path].texts[text] = (1, len(text) - links, links)
     return root
 
