@@ -84,6 +84,17 @@ def script_counts(text: Column, inside: str = r"[A-Za-z]") -> tuple[Column, Colu
     return own, F.coalesce(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(0)).cast("long") - own
 
 
+#: The Unicode blocks of the Arabic script.
+ARABIC_SCRIPT = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}&&\p{L}]"
+
+
+def foreign_script(text: Column, inside: str = ARABIC_SCRIPT, letters: int = 12, others: int = 8, ratio: float = 0.5) -> Column:
+    """A struct: ``own`` and ``other`` letters, the share of own ones (1 without letters), and ``foreign``, whether so many letters are mostly of other scripts."""
+    own, other = script_counts(F.coalesce(text, F.lit("")), inside)
+    share = F.when(own + other > 0, F.round(own / (own + other), 6)).otherwise(F.lit(1.0))
+    return F.struct(own.alias("own"), other.alias("other"), share.alias("share"), ((own + other >= letters) & (other >= others) & (share < ratio)).alias("foreign"))
+
+
 def clock(seconds: Column, mark: str = ",") -> Column:
     """hh:mm:ss and milliseconds, as subtitles have them."""
     ms = F.round(F.greatest(F.lit(0.0), seconds) * 1000).cast("long")

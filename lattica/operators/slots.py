@@ -88,6 +88,21 @@ def local_priors(candidates: DataFrame, slot: list[str], parts: Mapping[str, flo
     return rows.select(*slot, "candidate", "score", lead.alias("lead"), prior.alias("prior"))
 
 
+def critical_prior(critical: Column, families: Column, in_frame: Column, score: Column, prior: float = 5.0, most: float = 7.0) -> Column:
+    """What two families other than the base give a critical value inside a frame; elsewhere ten times what a repair's score has over 0.5, ``most`` at most."""
+    repair = F.greatest(F.lit(0.0), F.least(F.lit(most), 10 * (score - 0.5)))
+    return F.when(critical & in_frame & (families >= 2), F.lit(prior)).otherwise(repair)
+
+
+def first_usable(parts: list[tuple[str, Column, Column]]) -> Column:
+    """A struct of ``source`` and ``text``: the first of (name, text, usable) that is usable; nulls if none is."""
+    name, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, t, usable in reversed(parts):
+        good = F.coalesce(usable, F.lit(False))
+        name, text = F.when(good, F.lit(n)).otherwise(name), F.when(good, t).otherwise(text)
+    return F.struct(name.alias("source"), text.alias("text"))
+
+
 def locked_slots(slots: DataFrame, locks: DataFrame, keys: list[str], width: float) -> DataFrame:
     """``slots`` (keys, slot, start, end, word) with ``word`` as the locks (keys, lock, start, end, value) will have it, and ``lock``.
 

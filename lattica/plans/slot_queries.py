@@ -185,3 +185,25 @@ def similar_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verb_like_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = said(spark, sf_dir).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     return O.verb_like(counts, counts.filter("n >= 3").select(F.col("tok").alias("stem")), ["re"], ["ed", "ing", "s"])
+
+
+@query(
+    "critical_priors",
+    f"""WITH {_V} SELECT slot, candidate, round(CASE WHEN candidate = 'error' AND slot % 2 = 0 AND families >= 2 THEN 5.0 ELSE greatest(0.0, least(7.0, 10 * (CAST(votes % 10 AS DOUBLE) / 10 - 0.5))) END, 6) AS prior FROM s""",
+)
+def critical_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prior = O.critical_prior(F.col("candidate") == "error", F.col("families"), F.col("slot") % 2 == 0, (F.col("votes") % 10).cast("double") / 10)
+    return _scored(spark, sf_dir).select("slot", "candidate", F.round(prior, 6).alias("prior"))
+
+
+@query(
+    "first_usable",
+    """WITH t AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN length(text) END) AS a, max(CASE WHEN role = 'user' THEN length(text) END) AS u, max(CASE WHEN role = 'system' THEN length(text) END) AS s FROM conversations GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN a >= 900 THEN 'assistant' WHEN u >= 600 THEN 'user' WHEN s >= 1 THEN 'system' END AS source, CASE WHEN a >= 900 THEN CAST(a AS VARCHAR) WHEN u >= 600 THEN CAST(u AS VARCHAR) WHEN s >= 1 THEN CAST(s AS VARCHAR) END AS text FROM t""",
+)
+def first_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which role a conversation goes by: the first whose longest turn is long enough, and that length."""
+    longest = [F.max(F.when(F.col("role") == r, F.char_length("text"))).alias(r) for r in ("assistant", "user", "system")]
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*longest)
+    parts = [(r, F.col(r).cast("string"), F.col(r) >= n) for r, n in (("assistant", 900), ("user", 600), ("system", 1))]
+    return rows.select("conv_id", O.first_usable(parts).alias("x")).select("conv_id", "x.source", "x.text")

@@ -156,3 +156,9 @@ def test_wider_beams_are_no_worse():
         pairs = {(x, y): rng.uniform(-2, 2) for x in "abcd" for y in "abcd"}
         scores = [lattice.beam(path, pairs, width, each)[0] for width, each in ((1, 1), (72, 1), (72, 2))]
         assert scores[0] <= scores[1] + 1e-9 and abs(scores[1] - scores[2]) < 1e-9
+
+
+def test_foreign_script(spark):
+    rows = [("این یک متن فارسی است و چند کلمه دارد",), ("This text has no letter of that script",), ("123 !",), (None,)]
+    got = [r.f for r in spark.createDataFrame(rows, "t string").select(T.foreign_script(F.col("t")).alias("f")).collect()]
+    assert [(f.share, f.foreign) for f in got] == [(1.0, False), (0.0, True), (1.0, False), (1.0, False)] and got[0].other == 0 and got[1].own == 0
