@@ -101,6 +101,25 @@ def roots_of(names, linked):
     return {x: find(x) for x in names}
 
 
+def test_simhashes_equal_counted_bits():
+    """Majorities and peaks of sets of 0 to 700 hashes against bits counted one by one, and the tables for few and many texts."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (0, 1, 2, 3, 255, 256, 700, 0)]
+    prints, peaks = near_copies.simhashes(sets)
+    for k, s in enumerate(sets):
+        for w in (0, 3, 4, near_copies.WORDS - 1):
+            with np.errstate(over="ignore"):
+                mixed = [int(x) for x in near_copies.mixed(s ^ near_copies._TURN[w])]
+            lead = [2 * sum(x >> b & 1 for x in mixed) - len(s) for b in range(64)]
+            if w < 4:
+                assert int(prints[k, w]) & (1 << 64) - 1 == sum(1 << b for b in range(64) if lead[b] > 0)
+            best, value = divmod(int(peaks[k, w]), 2)
+            assert not len(s) or abs(lead[best]) == max(map(abs, lead)) and value == (lead[best] > 0)
+    for texts, each, least in ((10, 3, 36), (2_000_000, 3, 36), (5_000_000, 4, 81), (10**10, 5, 185)):
+        found = near_copies.tables(texts)
+        assert len(found) >= least and all(len(set(t)) == each for t in found) and {w for t in found for w in t} == set(range(near_copies.WORDS))
+
+
 @pytest.mark.parametrize("limit", [2, 64])
 def test_near_copies_equal_all_pairs(spark, limit):
     """Groups of copies with a few words changed, around the threshold: nothing is linked that should not be, and nine in ten pairs are found."""
