@@ -1,7 +1,7 @@
 import pytest
 
 from lattica.plans.catalogue import ORACLES, QUERIES
-from tests.oracle import duck, rows_of
+from tests.oracle import TABLES, duck, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +23,13 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["ngram_unigram", "ngram_bigram", "ngram_trigram", "topk_continuations", "domain_pivot", "interpolated_next_word"])
+def test_texts_of_the_same_words_count_each(spark, tmp_path, name):
+    for t in set(TABLES) - {"documents"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    texts = ["One two three.", "One | two | three. |", "one two three", "one two three", "One two three. Four", "12 !", "", None, "Größe über", "größe ÜBER"]
+    rows = [(i, text, lang) for lang in ("en", "de", None) for i, text in enumerate(texts, {"en": 0, "de": 50}.get(lang, 90))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows_of(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(duck(ORACLES[name], str(tmp_path)))
