@@ -156,11 +156,14 @@ def align_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates of each slot with what speaks for them, and what each word pair that follows in a reading gains."""
+    """Candidates of each slot with what speaks for them, and what each word pair that follows in a reading gains.
+
+    A reading has one word in a slot at most, so rows are readings.
+    """
     words = _words(spark, sf_dir)
     slots = stored(lattice.align_network(words, ["h0", "h1", "h2"]))
-    of = slots.groupBy("run", "slot").agg(F.countDistinct("hypothesis").alias("readings"))
-    found = slots.groupBy("run", "slot", F.col("word").alias("candidate")).agg(F.countDistinct("family").alias("families"), F.max("probability").alias("probability"), F.countDistinct("hypothesis").alias("sources"))
+    of = slots.groupBy("run", "slot").agg(F.count(F.lit(1)).alias("readings"))
+    found = slots.groupBy("run", "slot", F.col("word").alias("candidate")).agg(F.countDistinct("family").alias("families"), F.max("probability").alias("probability"), F.count(F.lit(1)).alias("sources"))
     nothing = F.when(F.col("readings") >= 3, 0.25).when(F.col("readings") == 2, 2.35).otherwise(6.20)
     empty = of.select("run", "slot", F.lit("").alias("candidate"), nothing.alias("nothing"))
     after = F.lead("word").over(Window.partitionBy("run", "turn").orderBy("start"))
