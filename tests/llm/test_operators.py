@@ -576,3 +576,19 @@ def test_packing_fills_the_tightest_bin_up():
     assert sorted(used) == [0, 1] and sum(map(len, used.values())) == 9
     for pieces in used.values():
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:], strict=False)) and sum(n for _, n in pieces) <= 20
+
+
+def test_pivot_table_discards_only_pairs_too_far_apart(spark):
+    rng, radius = random.Random(12), 58
+    turned = lambda f, n: f ^ sum(1 << b for b in rng.sample(range(256), n))
+    groups = []
+    for key in range(30):
+        centres = [rng.getrandbits(256) for _ in range(3)]
+        groups.append((key, [turned(rng.choice(centres), rng.randint(0, 34)) for _ in range(rng.randint(1, 16))]))
+    signed = lambda f: [(x := f >> 64 * k & (1 << 64) - 1) - (x >> 63 << 64) for k in range(4)]
+    rows = [(key, [(key * 100 + k, *signed(f)) for k, f in enumerate(fs)]) for key, fs in groups]
+    frame = spark.createDataFrame(rows, "key int, members array<struct<id: long, f0: long, f1: long, f2: long, f3: long>>")
+    got = {(r.a, r.b) for r in near_copies.pivot_pairs(frame, radius).selectExpr("x.id a", "y.id b").collect()}
+    near = {(key * 100 + i, key * 100 + j) for key, fs in groups for i in range(len(fs)) for j in range(i + 1, len(fs)) if (fs[i] ^ fs[j]).bit_count() <= radius}
+    everything = sum(len(fs) * (len(fs) - 1) // 2 for _, fs in groups)
+    assert near <= got and len(got) - len(near) < (everything - len(near)) // 2
