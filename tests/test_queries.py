@@ -33,3 +33,13 @@ def test_texts_of_the_same_words_count_each(spark, tmp_path, name):
     rows = [(i, text, lang) for lang in ("en", "de", None) for i, text in enumerate(texts, {"en": 0, "de": 50}.get(lang, 90))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     assert rows_of(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(duck(ORACLES[name], str(tmp_path)))
+
+
+@pytest.mark.parametrize("name", ["topk_continuations"])
+def test_letters_and_capitals_are_those_of_the_sql(spark, tmp_path, name):
+    for t in set(TABLES) - {"documents"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    texts = ["ΟΔΟΣ ΣΟΦΙΑΣ οδος", "İstanbul IĞDIR istanbul", "A\ua7cbB a\ua7dcb ẞ ǅ", "x\u0000y İ", *(f"A{chr(c)}B {chr(c)}Q" for c in (0x870, 0x888, 0x8C8, 0x9FFF, 0xA7C0, 0x10570, 0x1E4D0, 0x2B739, 0x31350, 0x323AF, 0x323B0))]
+    rows = [(i, text, lang) for lang in ("en", "de") for i, text in enumerate(texts, {"en": 0, "de": 50}[lang])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows_of(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(duck(ORACLES[name], str(tmp_path)))
