@@ -35,7 +35,7 @@ def test_texts_of_the_same_words_count_each(spark, tmp_path, name):
     assert rows_of(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(duck(ORACLES[name], str(tmp_path)))
 
 
-@pytest.mark.parametrize("name", ["topk_continuations", "domain_pivot"])
+@pytest.mark.parametrize("name", ["topk_continuations", "domain_pivot", "ngram_bigram"])
 def test_letters_and_capitals_are_those_of_the_sql(spark, tmp_path, name):
     for t in set(TABLES) - {"documents"}:
         (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
