@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import chunks, materialize, table, text_key, utf8
+from lattica.llm.shared import chunks, giving_back, materialize, table, text_key, utf8
 from lattica.llm.words import gram_hashes, sliding_min, word_hashes, words_of
 
 WINDOW = 10
@@ -152,7 +152,7 @@ def _pass(docs: DataFrame, index: Broadcast, id_field: str, last: bool, carried:
                 yield pa.RecordBatch.from_pydict(columns)
 
     out = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first: long, end: long>>, items array<string>" if last else f"text string, {_FOUND}"
-    return docs.mapInArrow(run, f"doc_id {id_field}, {out}")
+    return docs.mapInArrow(giving_back(run), f"doc_id {id_field}, {out}")
 
 
 def document_fingerprints(texts: DataFrame, lengths: list[int], window: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import chunks, held_out, sampled_texts, table, text_key, utf8
+from lattica.llm.shared import chunks, giving_back, held_out, sampled_texts, table, text_key, utf8
 
 STEPS = 64
 HIDDEN = 8
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, tagger: ByteTagger, id_col: str = "doc_id", text_co
                 score = np.where(lettered, np.clip(p[np.arange(b - a), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(giving_back(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", reject_below: float = REJECT_BELOW) -> DataFrame:
